@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -58,26 +58,55 @@ def _profile(k: int):
     return run
 
 
+def sketch_of(s: np.ndarray) -> bytes | None:
+    """Counts of a set's hashes in 2**q equal ranges, two to a byte, about 2 to 4 hashes in each; none if one is over 15.
+
+    The sum of the smaller counts of two sets bounds the size of their intersection from above.
+    """
+    q = max(2, (len(s) - 1).bit_length() - 2)
+    counts = np.bincount((s >> U(64 - q)).astype(np.int64), minlength=1 << q)
+    return None if counts.max() > 15 else (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def bound(x: bytes, y: bytes) -> int:
+    """At least the size of the intersection of the sets with these sketches."""
+    a, b = (np.frombuffer(z, np.uint8) for z in (x, y))
+    a, b = (np.stack([z & 15, z >> 4], 1).reshape(-1).astype(np.int64) for z in (a, b))
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(n, -1).sum(1), b.reshape(n, -1).sum(1)).sum())
+
+
+def _bounded(num: int, den: int):
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("nx", "ny", "kx", "ky")), strict=True)
+            keep = [x is None or y is None or (num + den) * bound(x, y) >= num * (m + n) for m, n, x, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _sign(k: int, num: int, den: int, functions: int, heavy: np.ndarray):
     seeds = np.random.default_rng(11).integers(1, 2**63, functions, dtype=np.uint64)
 
     def run(batches):
         for batch in batches:
-            ids, n, low, pre, begin = batch.column(0), [], [], [], [0]
+            ids, n, low, pre, begin, sketch = batch.column(0), [], [], [], [0], []
             for _, sets in sets_of(batch.column(1), k):
                 for s in sets:
                     often = heavy[(s >> U(64 - BUCKETS)).astype(np.int64)]
                     rare = s[~often]
                     own = rare if len(rare) else s
                     n.append(len(s))
+                    sketch.append(sketch_of(s))
                     low.append([T.mix(own ^ x).min() for x in seeds] if len(s) else [U(0)] * functions)
                     many = len(s) - -(-num * len(s) // den) + 1 if den * len(s) >= num * (len(s) + 1) else 0
                     pre.append(np.concatenate([rare, s[often]])[:many] if many > len(rare) else rare[:many])
                     begin.append(begin[-1] + len(pre[-1]))
             low = np.array(low, U).reshape(-1)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), T.nested(low, np.arange(0, len(low) + 1, functions)), T.nested(np.concatenate([np.zeros(0, U), *pre]), np.array(begin))],
-                ["id", "n", "low", "prefix"],
+                [ids, pa.array(n, pa.int64()), T.nested(low, np.arange(0, len(low) + 1, functions)), T.nested(np.concatenate([np.zeros(0, U), *pre]), np.array(begin)), pa.array(sketch, pa.binary())],
+                ["id", "n", "low", "prefix", "sketch"],
             )
 
     return run
@@ -108,8 +137,12 @@ def _compare(k: int, num: int, den: int):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts link. Only texts of the pairs' documents are shuffled."""
+def _links(work: Workspace, docs: DataFrame, signed: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose texts link. Sketches of a few bytes for each word sort out most others; texts decide the rest."""
+    short = signed.select("id", "n", "sketch")
+    both = pairs.join(short.select(F.col("id").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("kx")), "a")
+    both = both.join(short.select(F.col("id").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("ky")), "b")
+    pairs = work.keep(both.select("a", "b", "nx", "ny", "kx", "ky").mapInArrow(_bounded(num, den), "a long, b long").distinct(), f"open{id(both)}")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     near = docs.mapInArrow(_among(bitmap(ids, "id", ID_BITS)), "id long, text string")
     both = pairs.join(near.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(near.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -142,26 +175,32 @@ def similar_documents(
     heavy[full] = True
 
     nodes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("id")).select("id", F.col("n").alias("size"))
-    signed = work.keep(docs.mapInArrow(_sign(words, num, den, functions, heavy), "id long, n long, low array<long>, prefix array<long>"), "signed")
+    signed = work.keep(docs.mapInArrow(_sign(words, num, den, functions, heavy), "id long, n long, low array<long>, prefix array<long>, sketch binary"), "signed")
 
     low = signed.select("id", "n", "low").join(nodes, (nodes.id == signed.id) & (nodes.size == signed.n), "left_semi").select("id", F.posexplode("low").alias("f", "m"))
     first = low.groupBy("f", "m").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     star = low.join(first, ["f", "m"]).where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("c")).where(F.col("c") >= agree).select("a", "b")
     star = work.keep(star, "star")
-    near = work.keep(_links(docs, star, words, num, den).distinct(), "near")
+    near = work.keep(_links(work, docs, signed, star, words, num, den).distinct(), "near")
     group = components(work, near, "group").select("id", F.col("component").alias("grp"))
 
     rows = signed.select("id", "n", "prefix").where(F.size("prefix") > 0).join(nodes, (nodes.id == signed.id) & (nodes.size == signed.n), "left_semi")
-    rows = rows.join(group, "id", "left").select("id", F.coalesce("grp", "id").alias("grp"), F.posexplode("prefix").alias("at", "token"))
-    one = Window.partitionBy("token")
-    rows = rows.withColumn("lo", F.min("grp").over(one)).withColumn("hi", F.max("grp").over(one)).where("lo <> hi").drop("lo", "hi")
-    matrix = work.keep(rows.join(nodes, "id").select("token", "grp", "id", F.col("at").cast("int").alias("at"), F.col("size").cast("int").alias("n")), "matrix")
-    left, right = (matrix.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("grp", "id", "at", "n"))) for s in "xy")
+    rows = rows.join(group, "id", "left").select(F.coalesce("grp", "id").alias("grp"), "id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
+    rows = work.keep(rows, "rows")
+    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    shared = matrix.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    matrix = work.keep(matrix.join(shared, "token"), "matrix")
+    x, y = (matrix.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("grp", "lo", "hi"))) for s in "xy")
+    opened = x.join(y, "token").where((F.col("grpx") < F.col("grpy")) & (F.col("hix") * den >= F.col("loy") * num) & (F.col("hiy") * den >= F.col("lox") * num)).select("token", "grpx", "grpy")
+    x, y = (rows.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("grp", "id", "at", "n"))) for s in "xy")
     least = F.expr(f"({num} * (cast(nx as long) + ny) + {num + den - 1}) div {num + den}")
     fits = F.least("atx", "aty") + 1 + F.least(F.expr("nx - atx - 1"), F.expr("ny - aty - 1")) >= least
-    open_pairs = left.join(right, ["token"]).where((F.col("grpx") < F.col("grpy")) & (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num) & fits)
-    pairs = work.keep(open_pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct(), "pairs")
-    linked = components(work, near.unionByName(_links(docs, pairs, words, num, den)), "linked")
+    sized = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
+    members = opened.join(x, ["token", "grpx"]).join(y, ["token", "grpy"]).where(sized & fits)
+    pairs = work.keep(members.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct(), "pairs")
+    work.drop("matrix")
+    work.drop("rows")
+    linked = components(work, near.unionByName(_links(work, docs, signed, pairs, words, num, den)), "linked")
 
     small = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("node"))
     own = sets.join(small, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("node", "id").alias("node"))
