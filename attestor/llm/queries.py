@@ -12,6 +12,7 @@ from .bpe_count import count_tokens
 from .chat_format import format_conversations, learned_text, text_part, turns_of
 from .ngram_join import similar_documents
 from .source_mix import mix_sources
+from .url_lists import host_of, judge_captures
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,27 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(docs, words=4, num=85, den=100)
 
 
+#: Dated events of fixed lists: list, kind, key, day, action.
+URL_EVENTS = """
+('spam', 'domain', 'spam-farm.example.org', 0, 'add'), ('spam', 'domain', 'cheap-pills.example.com', 30, 'add'),
+('spam', 'domain', 'cheap-pills.example.com', 200, 'remove'), ('spam', 'domain', 'cheap-pills.example.com', 300, 'add'),
+('adult', 'domain', 'example.org', 100, 'add'), ('adult', 'domain', 'example.org', 120, 'remove'),
+('allow', 'domain', 'blog.ththth.example.org', 0, 'add')"""
+
+
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table has no fetch time: each page is taken as fetched some hours after 2024-01-01, by its id. Beside the
+    fixed lists, every host whose digest begins with 0-3 is on a list from a day of its own on, a quarter of them for 90 days."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = pages.withColumn("fetched_at", F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, pmod(page_id * 7, 8784))"))
+    hosts = pages.select(host_of(F.col("url")).alias("key")).where("key is not null").distinct().withColumn("h", F.md5("key")).where("h < '4'").withColumn("day", F.expr("cast(conv(substr(h, 2, 4), 16, 10) as int) % 366"))
+    own = hosts.select(F.lit("hosts").alias("list"), F.lit("host").alias("kind"), "key", F.explode(F.expr("if(h < '1', array(struct(day, 'add' as action), struct(day + 90 as day, 'remove' as action)), array(struct(day, 'add' as action)))")).alias("e")).select("list", "kind", "key", "e.*")
+    fixed = spark.sql(f"SELECT * FROM VALUES {URL_EVENTS} AS t(list, kind, key, day, action)")
+    events = own.unionByName(fixed).withColumn("at", F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(day)"))
+    judged = judge_captures(pages, events)
+    return judged.select("page_id", "url", "host", F.array_join("lists", ",").alias("lists"), "allowed", "blocked")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hostile = spark.sql("SELECT col1 AS conv_id, col2 AS turn, col3 AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant')")
@@ -39,6 +61,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_url_lists": op7_url_lists,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_token_counts": op9_token_counts,
 }
@@ -58,6 +81,21 @@ links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y
 reach(id, other) AS (SELECT doc_id, doc_id FROM words UNION SELECT id, b FROM reach JOIN links ON a = other)
 SELECT id AS doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(other)::BIGINT AS component_id
 FROM reach LEFT JOIN sizes ON sizes.doc_id = id GROUP BY id
+""",
+    "op7_url_lists": r"""
+WITH captures AS (
+  SELECT page_id, url, (page_id * 7) % 8784 AS hour,
+    nullif(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), '\.?(:[0-9]*)?$', ''), '') AS host FROM pages),
+hosts AS (SELECT host AS key, md5(host) AS h, ('0x' || substr(md5(host), 2, 4))::INT % 366 AS day FROM (SELECT DISTINCT host FROM captures) WHERE host IS NOT NULL AND md5(host) < '4'),
+spans AS (
+  SELECT 'hosts' AS list, 'host' AS kind, key, day AS first, CASE WHEN h < '1' THEN day + 90 END AS past FROM hosts
+  UNION ALL SELECT * FROM (VALUES ('spam', 'domain', 'spam-farm.example.org', 0, NULL), ('spam', 'domain', 'cheap-pills.example.com', 30, 200),
+    ('spam', 'domain', 'cheap-pills.example.com', 300, NULL), ('adult', 'domain', 'example.org', 100, 120), ('allow', 'domain', 'blog.ththth.example.org', 0, NULL))),
+held AS (
+  SELECT DISTINCT page_id, list FROM captures JOIN spans ON (host = key OR kind = 'domain' AND ends_with(host, '.' || key)) AND hour >= first * 24 AND (past IS NULL OR hour < past * 24))
+SELECT page_id, any_value(url) AS url, any_value(host) AS host, coalesce(string_agg(list, ',' ORDER BY list) FILTER (list <> 'allow'), '') AS lists,
+  coalesce(bool_or(list = 'allow'), false) AS allowed, coalesce(bool_or(list <> 'allow'), false) AND NOT coalesce(bool_or(list = 'allow'), false) AS blocked
+FROM captures LEFT JOIN held USING (page_id) GROUP BY page_id
 """,
     "op8_chat_formatting": r"""
 WITH r AS (

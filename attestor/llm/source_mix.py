@@ -7,9 +7,9 @@ short or long documents. a_s and b_s solve the convex dual of that problem by
 Newton steps; each step is one aggregation over all (source, size, prior) classes, and every source has its own two by
 two system, so nothing of the corpus goes to the driver but the largest remaining gap.
 
-Rates become copies by systematic rounding along the sizes: copies = floor(C_i + u) - floor(C_(i-1) + u) where C sums the
-rates in order of size. A source's words then miss its target by at most about two of its largest documents, however
-many documents it has; of 64 offsets u the one that misses least is taken for each source. Prefix sums are taken in small bins, then over bins, so a source with a third of all
+Rates become copies by systematic rounding: copies = floor(C_i + u) - floor(C_(i-1) + u) where C sums the rates in an order
+that keeps equal sizes together and deals the sizes out by a hash. Documents of a size then miss their rate by less than
+one copy in all, and of 64 offsets u the one whose words miss the target least is taken for each source. Prefix sums are taken in small bins, then over bins, so a source with a third of all
 rows is not ordered in one task. Sums are in whole numbers, so reruns agree.
 """
 
@@ -112,7 +112,7 @@ def mix_sources(
     rated = classes.join(solved.withColumnRenamed("source", "s"), F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("x", F.col("size") / F.col("mean"))
     units = F.when(F.col("size") == 0, F.lit(UNIT)).otherwise(F.least(F.lit(cap * UNIT), F.round(rate(cap) * UNIT)))
     rated = rated.withColumn("rate", F.coalesce(units, F.lit(UNIT)).cast("long")).select("source", "size", "prior", "n", "source_size", "target", "rate")
-    rated = rated.withColumn("bin", F.floor(F.log2(F.col("size") + F.lit(1.0)) * 16).cast("int"))
+    rated = rated.withColumn("bin", F.pmod(F.xxhash64("size", "prior"), F.lit(256)).cast("int"))
     inside = Window.partitionBy("source", "bin").orderBy("size", "prior").rowsBetween(Window.unboundedPreceding, -1)
     rated = rated.withColumn("here", F.coalesce(F.sum(F.col("rate") * F.col("n")).over(inside), F.lit(0)))
     bins = rated.groupBy("source", "bin").agg(F.sum(F.col("rate") * F.col("n")).alias("sum"))
