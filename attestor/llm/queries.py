@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe_count import count_tokens
 from .chat_format import format_conversations, learned_text, text_part, turns_of
+from .line_quality import line_quality
 from .ngram_join import similar_documents
 from .source_mix import mix_sources
 from .url_lists import host_of, judge_captures
@@ -19,6 +20,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return similar_documents(docs, words=4, num=85, den=100)
@@ -60,6 +65,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
+    "op4_line_quality": op4_line_quality,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_url_lists": op7_url_lists,
     "op8_chat_formatting": op8_chat_formatting,
