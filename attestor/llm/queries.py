@@ -12,6 +12,7 @@ from .bpe_count import count_tokens
 from .chat_format import format_conversations, learned_text, text_part, turns_of
 from .line_quality import line_quality
 from .ngram_join import similar_documents
+from .pii_spans import find_personal_data
 from .source_mix import mix_sources
 from .url_lists import host_of, judge_captures
 
@@ -29,6 +30,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(docs, words=4, num=85, den=100)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 #: Dated events of fixed lists: list, kind, key, day, action.
 URL_EVENTS = """
 ('spam', 'domain', 'spam-farm.example.org', 0, 'add'), ('spam', 'domain', 'cheap-pills.example.com', 30, 'add'),
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_line_quality": op4_line_quality,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_personal_data": op6_personal_data,
     "op7_url_lists": op7_url_lists,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_token_counts": op9_token_counts,
