@@ -1,15 +1,15 @@
 """Exact n-gram Jaccard self-join of documents through a token-group matrix.
 
 A document's set holds the 64-bit hashes of its distinct k-word shingles. Documents with equal sets are one node.
-Similar nodes are put into groups: nodes that share minimum hashes are compared with the smallest node among them, and
+Similar nodes are put into groups: nodes that share a minimum hash are compared with the smallest node among them, and
 nodes that link with it join its group. The token-group matrix then holds, for each shingle that can matter, the groups
 whose union contains it. It only needs each set's prefix in one order of all shingles (frequent ones last): a set
 overlaps a group's union by less than the bound if none of its prefix is in it. Groups that share no such shingle are
 never opened; of the others only members within the size and position bounds are, and every such pair is compared by
 its whole texts. The minimum hashes decide how much work remains, never which links are found.
 
-The frequent shingles come from counts of all shingles of all documents in 2**16 buckets, so the table of frequent
-buckets has the same size for any corpus. No pair within a group of copies is listed.
+The frequent shingles come from counts of all shingles of all documents in 2**16 buckets, and from exact counts over
+first prefixes kept as a bitmap, so what tasks are sent has the same size for any corpus. No pair within a group of copies is listed.
 """
 
 from __future__ import annotations
@@ -86,6 +86,25 @@ def _bounded(num: int, den: int):
     return run
 
 
+def prefix_of(s: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first hashes of a set in the common order (frequent ones last) of which a linked set must hold at least one."""
+    many = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
+    rare = s[~often]
+    return np.concatenate([rare, s[often]])[:many] if many > len(rare) else rare[:many]
+
+
+def _reorder(k: int, num: int, den: int, heavy: np.ndarray, crowded: np.ndarray):
+    """Prefixes again, with the hashes in the bitmap crowded among the frequent ones."""
+
+    def run(batches):
+        for batch in batches:
+            pre = [prefix_of(s, heavy[(s >> U(64 - BUCKETS)).astype(np.int64)] | in_bitmap(crowded, s), num, den) for _, sets in sets_of(batch.column(1), k) for s in sets]
+            begin = np.concatenate([[0], np.cumsum([len(p) for p in pre])]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), T.nested(np.concatenate([np.zeros(0, U), *pre]), begin)], ["id", "prefix"])
+
+    return run
+
+
 def _sign(k: int, num: int, den: int, functions: int, heavy: np.ndarray):
     seeds = np.random.default_rng(11).integers(1, 2**63, functions, dtype=np.uint64)
 
@@ -100,8 +119,7 @@ def _sign(k: int, num: int, den: int, functions: int, heavy: np.ndarray):
                     n.append(len(s))
                     sketch.append(sketch_of(s))
                     low.append([T.mix(own ^ x).min() for x in seeds] if len(s) else [U(0)] * functions)
-                    many = len(s) - -(-num * len(s) // den) + 1 if den * len(s) >= num * (len(s) + 1) else 0
-                    pre.append(np.concatenate([rare, s[often]])[:many] if many > len(rare) else rare[:many])
+                    pre.append(prefix_of(s, often, num, den))
                     begin.append(begin[-1] + len(pre[-1]))
             low = np.array(low, U).reshape(-1)
             yield pa.RecordBatch.from_arrays(
@@ -150,16 +168,16 @@ def _links(work: Workspace, docs: DataFrame, signed: DataFrame, pairs: DataFrame
 
 
 def similar_documents(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, num: int = 80, den: int = 100, functions: int = 8, agree: int = 3, often: float = 0.002
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, num: int = 80, den: int = 100, functions: int = 8, crowd: int = 8, often: float = 0.002
 ) -> DataFrame:
     """Returns a row for each document: doc_id, n_shingles (its set's size), component_id (smallest id reachable by links).
 
     Two documents link when den * |A and B| >= num * |A or B|. A document without words, or with a null text, has an
     empty set and links with nothing. Rows with a null id are no documents and are left out. Rows that repeat an id are one
     document: links of any of them count, n_shingles is the largest. Other columns of docs are ignored.
-    functions and agree say how many minimum hashes are taken and how many must lead to the same smallest node before
-    the two are compared for grouping; often is the share of documents from which a bucket of shingles counts as
-    frequent. These three change the cost only.
+    functions says how many minimum hashes a document is compared by with the smallest node that has the same one; often
+    is the share of documents from which a bucket of shingles counts as frequent, crowd the number of prefixes from which
+    a shingle does. These three change the cost only.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
@@ -179,14 +197,18 @@ def similar_documents(
 
     low = signed.select("id", "n", "low").join(nodes, (nodes.id == signed.id) & (nodes.size == signed.n), "left_semi").select("id", F.posexplode("low").alias("f", "m"))
     first = low.groupBy("f", "m").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    star = low.join(first, ["f", "m"]).where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("c")).where(F.col("c") >= agree).select("a", "b")
+    star = low.join(first, ["f", "m"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     star = work.keep(star, "star")
     near = work.keep(_links(work, docs, signed, star, words, num, den).distinct(), "near")
     group = components(work, near, "group").select("id", F.col("component").alias("grp"))
 
-    rows = signed.select("id", "n", "prefix").where(F.size("prefix") > 0).join(nodes, (nodes.id == signed.id) & (nodes.size == signed.n), "left_semi")
+    tokens = signed.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= crowd)
+    crowded = bitmap(tokens, "token", ID_BITS)
+    prefixes = work.keep(docs.mapInArrow(_reorder(words, num, den, heavy, crowded), "id long, prefix array<long>"), "prefixes")
+    rows = prefixes.where(F.size("prefix") > 0).join(signed.select("id", "n").join(nodes, (nodes.id == signed.id) & (nodes.size == signed.n), "left_semi"), "id")
     rows = rows.join(group, "id", "left").select(F.coalesce("grp", "id").alias("grp"), "id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
-    rows = work.keep(rows, "rows")
+    twice = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    rows = work.keep(rows.join(twice, "token"), "rows")
     matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     shared = matrix.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     matrix = work.keep(matrix.join(shared, "token"), "matrix")
