@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe_count import count_tokens
 from .chat_format import format_conversations, learned_text, text_part, turns_of
 from .decontaminate import find_leaks
+from .line_dedup import dedup_lines
 from .line_quality import line_quality
 from .ngram_join import similar_documents
 from .pii_spans import find_personal_data
@@ -24,6 +25,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", F.round("leak.score", 6).alias("score"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -77,6 +83,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_line_quality": op4_line_quality,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
