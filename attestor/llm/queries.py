@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_count import count_tokens
 from .chat_format import format_conversations, learned_text, text_part, turns_of
+from .cover_tree import near_vectors
 from .decontaminate import find_leaks
 from .line_dedup import dedup_lines
 from .line_quality import line_quality
@@ -81,6 +83,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -91,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_lists": op7_url_lists,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_token_counts": op9_token_counts,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
@@ -135,5 +143,13 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(length('<|turn:|><|end|>') + length(role) + 4 * len(regexp_extract_all(role, '[&|[]')) + 3 * len(regexp_extract_all(role, '<'))
     + length(text) + 4 * len(regexp_extract_all(text, '[&[]')) + 3 * len(regexp_extract_all(text, '<')))::BIGINT AS formatted_chars
 FROM r GROUP BY conv_id
+""",
+    "op10_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(id, other) AS (SELECT vec_id, vec_id FROM embeddings WHERE vec_id IS NOT NULL UNION SELECT id, b FROM reach JOIN links ON a = other)
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id)::BIGINT AS n_links, min(other)::BIGINT AS component_id, id = min(other) AS kept FROM reach GROUP BY id
 """,
 }
