@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import table_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLE = {**text_queries.ORACLE}
+QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES}
+ORACLE = {**text_queries.ORACLE, **table_queries.ORACLE}
