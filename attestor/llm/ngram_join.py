@@ -155,6 +155,26 @@ def _compare(k: int, num: int, den: int):
     return run
 
 
+def _tokens(k: int):
+    def run(batches):
+        for batch in batches:
+            found = [s for _, sets in sets_of(batch.column(0), k) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U), *found]).view(np.int64))], ["token"])
+
+    return run
+
+
+def _common(docs: DataFrame, star: DataFrame, k: int, crowd: int) -> DataFrame:
+    """Shingles that two of five documents around one centre share, for centres with `crowd` neighbours or more.
+
+    They are what a group of near copies has in common; put last in the order, they leave each copy's own shingles first.
+    """
+    some = star.groupBy("a").agg(F.count("*").alias("c"), *(F.min_by("b", F.xxhash64("b", F.lit(j))).alias(f"b{j}") for j in range(4))).where(F.col("c") >= crowd)
+    ids = some.select(F.explode(F.array("a", "b0", "b1", "b2", "b3")).alias("id")).distinct()
+    near = docs.mapInArrow(_among(bitmap(ids, "id", ID_BITS)), "id long, text string").join(ids, "id", "left_semi").select("text")
+    return near.mapInArrow(_tokens(k), "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+
+
 def _links(work: Workspace, docs: DataFrame, signed: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose texts link. Sketches of a few bytes for each word sort out most others; texts decide the rest."""
     short = signed.select("id", "n", "sketch")
@@ -203,7 +223,7 @@ def similar_documents(
     group = components(work, near, "group").select("id", F.col("component").alias("grp"))
 
     tokens = signed.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= crowd)
-    crowded = bitmap(tokens, "token", ID_BITS)
+    crowded = bitmap(tokens.select("token").unionByName(_common(docs, star, words, crowd)), "token", ID_BITS)
     prefixes = work.keep(docs.mapInArrow(_reorder(words, num, den, heavy, crowded), "id long, prefix array<long>"), "prefixes")
     rows = prefixes.where(F.size("prefix") > 0).join(signed.select("id", "n").join(nodes, (nodes.id == signed.id) & (nodes.size == signed.n), "left_semi"), "id")
     rows = rows.join(group, "id", "left").select(F.coalesce("grp", "id").alias("grp"), "id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
@@ -216,7 +236,8 @@ def similar_documents(
     opened = x.join(y, "token").where((F.col("grpx") < F.col("grpy")) & (F.col("hix") * den >= F.col("loy") * num) & (F.col("hiy") * den >= F.col("lox") * num)).select("token", "grpx", "grpy")
     x, y = (rows.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("grp", "id", "at", "n"))) for s in "xy")
     least = F.expr(f"({num} * (cast(nx as long) + ny) + {num + den - 1}) div {num + den}")
-    fits = F.least("atx", "aty") + 1 + F.least(F.expr("nx - atx - 1"), F.expr("ny - aty - 1")) >= least
+    # At a pair's first common shingle all that it shares lies from there on, so a pair that links has a row that fits.
+    fits = F.least(F.expr("nx - atx"), F.expr("ny - aty")) >= least
     sized = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
     members = opened.join(x, ["token", "grpx"]).join(y, ["token", "grpy"]).where(sized & fits)
     pairs = work.keep(members.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct(), "pairs")
