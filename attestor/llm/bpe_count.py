@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import steady
+
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: So many pieces, up to such a length, are remembered by a worker; past that it starts anew, which changes no count.
 REMEMBERED, SHORT = 1 << 20, 48
@@ -106,6 +108,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", te
     counts as empty: no bytes, no tokens. Ids may be null or repeat; each row keeps its own counts. Other columns are
     ignored. A very long text, or one without any break, is merged whole in n log n steps. No row is shuffled.
     """
+    steady(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     return rows.mapInArrow(_count(vocabulary), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .shared import Workspace
+from .shared import Workspace, steady
 
 U = np.uint64
 APART = np.ones(256, bool)
@@ -180,8 +180,8 @@ def leaks_in(items: Items, column: pa.Array, n: int, least: int, cut: float) ->
 def _found(items: Items, n: int, least: int, cut: float):
     def run(batches):
         for batch in batches:
-            new = leaks_in(items, batch.column(1), n, least, cut)
-            old = batch.column(2).to_pylist()
+            new = leaks_in(items, batch.column(0).field("text").cast(pa.string()), n, least, cut)
+            old = batch.column(1).to_pylist()
             leaks = pa.array([a + b for a, b in zip(old, new, strict=True)], pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), leaks], ["row", "leaks"])
 
@@ -201,6 +201,7 @@ def find_leaks(
     no shuffle of them.
     """
     spark = docs.sparkSession
+    steady(spark)
     docs = docs.drop("leaks")
     none = F.array().cast("array<struct<item_id:bigint,score:double>>")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
@@ -218,7 +219,7 @@ def find_leaks(
         seen = np.zeros(len(made.seeds), np.int64)
         seen[counts.seed.to_numpy(np.int64)] = counts.n.to_numpy(np.int64)
         made.rarer(seen, factor, floor)
-        return out.select("row", F.col("row.text").cast("string").alias("text"), "leaks").mapInArrow(_found(made, n, least, cut), f"row {kind}, leaks array<struct<item_id:bigint,score:double>>")
+        return out.select("row", "leaks").mapInArrow(_found(made, n, least, cut), f"row {kind}, leaks array<struct<item_id:bigint,score:double>>")
 
     for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").orderBy("item_id", "text").toLocalIterator():
         words = len(r[1]) // 2 + 1

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
+from .shared import steady
 
 U = np.uint64
 BREAK = np.arange(256) == 10
@@ -199,7 +200,7 @@ def _scored(field: Field):
     def run(batches):
         for batch in batches:
             share, lines, bad = [], [], []
-            for _, _, data, offsets in T.slices(batch.column(1), 1 << 19):
+            for _, _, data, offsets in T.slices(batch.column(0).field("text").cast(pa.string()), 1 << 19):
                 x, length, begin = line_features(data, offsets)
                 s, good = field.share(x, length, begin)
                 share.append(s)
@@ -218,6 +219,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_lin
 
     labels: doc_id, quality (0 or 1); other values, nulls and ids labelled both ways are not used.
     """
+    steady(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -236,13 +238,14 @@ def score_quality(docs: DataFrame, field: Field | None, cut: float = 0.3) -> Dat
     A null or empty text, or one of line breaks only, has no lines and scores 0. Without a field (no labels to learn
     from) every text with a line scores 0.5. Repeated rows score alike. Columns of docs by these four names are replaced.
     """
+    steady(docs.sparkSession)
     docs = docs.drop("score", "predicted", "n_lines", "n_bad_lines")
     if field is None:
         lines = F.coalesce(F.regexp_count(F.col("text"), F.lit("[^\n]+")).cast("long"), F.lit(0).cast("long"))
         return docs.withColumns({"n_lines": lines, "score": F.when(lines > 0, 0.5).otherwise(0.0), "predicted": F.when(lines > 0, F.lit(int(cut <= 0.5))).otherwise(0), "n_bad_lines": F.lit(0).cast("long")})
     kept = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     kind = docs.select(kept.alias("row")).schema["row"].dataType.simpleString()
-    scored = docs.select(kept.alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_scored(field), f"row {kind}, score double, n_lines long, n_bad_lines long")
+    scored = docs.select(kept.alias("row")).mapInArrow(_scored(field), f"row {kind}, score double, n_lines long, n_bad_lines long")
     return scored.select("row.*", "score", F.when(F.col("score") >= cut, 1).otherwise(0).alias("predicted"), "n_lines", "n_bad_lines")
 
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import steady
+
 KINDS = ("email", "ip", "card", "phone", "id", "account")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -201,6 +203,7 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     counts as empty and has none. Ids may be null or repeat; every row has its result. Other columns are ignored. Without any
     candidate in the table nothing is trained or added. Rows are not shuffled.
     """
+    steady(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     seen = rows.select("text").mapInArrow(_patterns, "features array<int>, n long").groupBy("features").agg(F.sum("n").alias("n")).orderBy("features").collect()
     weights = None

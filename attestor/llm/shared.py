@@ -19,15 +19,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def steady(spark: SparkSession, rows: int = 1000) -> None:
+    """Keeps what Python workers hold at a time small: Arrow batches of at most so many rows, whatever the texts' lengths."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 class Workspace:
     """Tables written under the shared folder, so that lineage ends there and a lost executor loses nothing."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        steady(spark)
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
         df.write.parquet(path)
+        # The shuffle files behind a written table go when the driver's garbage is collected; waiting would fill disks.
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, table: str) -> None:
