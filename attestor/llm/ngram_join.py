@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard self-join of documents through a token-group matrix.
 
 A document's set holds the 64-bit hashes of its distinct k-word shingles. Documents with equal sets are one node.
-Similar nodes are put into groups: nodes that share a minimum hash are compared with the smallest node among them, and
-nodes that link with it join its group. The token-group matrix then holds, for each shingle that can matter, the groups
+Similar nodes are put into groups: nodes that share a minimum hash are compared with one node among them, another one for
+each hash function, and nodes that link with it join its group. The token-group matrix then holds, for each shingle that can matter, the groups
 whose union contains it. It only needs each set's prefix in one order of all shingles (frequent ones last): a set
 overlaps a group's union by less than the bound if none of its prefix is in it. Groups that share no such shingle are
 never opened; of the others only members within the size and position bounds are, and every such pair is compared by
@@ -188,14 +188,14 @@ def _links(work: Workspace, docs: DataFrame, signed: DataFrame, pairs: DataFrame
 
 
 def similar_documents(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, num: int = 80, den: int = 100, functions: int = 8, crowd: int = 8, often: float = 0.002
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, num: int = 80, den: int = 100, functions: int = 12, crowd: int = 8, often: float = 0.002
 ) -> DataFrame:
     """Returns a row for each document: doc_id, n_shingles (its set's size), component_id (smallest id reachable by links).
 
     Two documents link when den * |A and B| >= num * |A or B|. A document without words, or with a null text, has an
     empty set and links with nothing. Rows with a null id are no documents and are left out. Rows that repeat an id are one
     document: links of any of them count, n_shingles is the largest. Other columns of docs are ignored.
-    functions says how many minimum hashes a document is compared by with the smallest node that has the same one; often
+    functions says how many minimum hashes a document is compared by with a node that has the same one; often
     is the share of documents from which a bucket of shingles counts as frequent, crowd the number of prefixes from which
     a shingle does. These three change the cost only.
     """
@@ -216,7 +216,7 @@ def similar_documents(
     signed = work.keep(docs.mapInArrow(_sign(words, num, den, functions, heavy), "id long, n long, low array<long>, prefix array<long>, sketch binary"), "signed")
 
     low = signed.select("id", "n", "low").join(nodes, (nodes.id == signed.id) & (nodes.size == signed.n), "left_semi").select("id", F.posexplode("low").alias("f", "m"))
-    first = low.groupBy("f", "m").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+    first = low.groupBy("f", "m").agg(F.min_by("id", F.xxhash64("id", "f")).alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     star = low.join(first, ["f", "m"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     star = work.keep(star, "star")
     near = work.keep(_links(work, docs, signed, star, words, num, den).distinct(), "near")
