@@ -71,7 +71,7 @@ def widen_selection(selected: DataFrame, chunks: DataFrame, terms: Column, keys:
 
     selected: keys, idx, place. chunks: keys, idx, total, text. Candidates are taken in order of selection, then of terms, start before end.
     """
-    rows = selected.select(*keys, "idx", "place").join(chunks.select(*keys, "idx", F.col("total").alias("total"), F.lower("text").alias("low")), [*keys, "idx"]).withColumn("terms", terms)
+    rows = selected.withColumn("terms", terms).select(*keys, "idx", "place", "terms").join(chunks.select(*keys, "idx", F.col("total").alias("total"), F.lower("text").alias("low")), [*keys, "idx"])
     edge = F.floor(F.length("low") * 0.08)
     near = F.transform("terms", lambda t, i: F.array(
         F.struct(i.alias("i"), F.lit(0).alias("side"), F.when((F.instr("low", t) > 0) & (F.instr("low", t) - 1 < edge) & (F.col("idx") > 0), F.col("idx") - 1).alias("to")),

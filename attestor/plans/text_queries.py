@@ -11,8 +11,11 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import align as A
 from ..operators import changes as C
+from ..functions.catalogue import clause_catalogue
 from ..operators import chunks, clauses, ingest, redline, retrieve, verify
+from ..operators.embed import hashed_words
 from ..streaming.citations import filtered_text
+from . import ask, compare
 
 QUERIES, ORACLE = {}, {}
 
@@ -600,3 +603,44 @@ def page_display(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/pages.parquet")
     n = F.length("html").cast("long")
     return rows.select("page_id", n.alias("n"), T.truncated(F.col("html"), 500, "[cut]").alias("head"), T.highlighted(F.col("url"), F.lit("example  en")).alias("marked"), T.byte_size(n).alias("size"), T.confidence(F.col("page_id") % 100 / 100).alias("trust"))
+
+
+@query("SELECT 'governing_law' AS id, 'Governing Law & Jurisdiction' AS name, 3::INT AS n UNION ALL SELECT 'notices', 'Notices', 2")
+def clause_library(spark: SparkSession, d: str) -> DataFrame:
+    return clause_catalogue(spark).where(F.col("id").isin("governing_law", "notices")).select("id", "name", F.size("queries").alias("n"))
+
+
+@query()
+def clause_search(spark: SparkSession, d: str) -> DataFrame:
+    """Word chunks nearest to the ready-made searches, by the stand-in embedding."""
+    parts = chunks.word_chunks(pages_of(spark, d)).select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("vec_id"), hashed_words(F.col("text")).alias("embedding"))
+    # Each text is embedded once: a barrier keeps the projection from being taken up by the join.
+    parts = parts.repartition("vec_id")
+    asked = clause_catalogue(spark).where(F.col("id").isin("termination", "notices")).select("id", F.posexplode("queries").alias("k", "text")).select(F.concat_ws("-", "id", "k").alias("query_id"), hashed_words(F.col("text")).alias("query"))
+    asked = asked.repartition(1)
+    return retrieve.vector_top_k(parts, asked, 5)
+
+
+@query()
+def ask_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One question to every document: what is quoted, where, or why nothing is."""
+    rows = docs(spark, d, "doc_id", "text")
+    questions = rows.select(F.col("doc_id").alias("question_id"), "doc_id", F.lit(QUESTION).alias("question"))
+    pages = rows.select("doc_id", F.lit(1).alias("page_no"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"))
+    found, said = ask.answers(questions, rows, pages, compat=False, max_tokens=500)
+    count = found.groupBy("question_id").agg(F.count_if("verified").alias("verified"), F.count_if(~F.col("verified")).alias("unverified"))
+    return said.join(count, "question_id", "left").select("doc_id", "chunks_read", "chunks_total", "complete", F.coalesce("verified", F.lit(0)).alias("verified"), F.coalesce("unverified", F.lit(0)).alias("unverified"), F.md5("answer").alias("answer"))
+
+
+@query()
+def compare_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every second document compared with an edited version of itself: a moved, a changed, an added and a removed line."""
+    rows = docs(spark, d, "doc_id", "text").where("doc_id % 2 = 0")
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". Term\n"), x))
+    lines = F.split("text", "\n")
+    new = F.concat(F.slice(lines, 2, F.greatest(F.size(lines) - 2, F.lit(0))), F.slice(lines, 1, 1), F.array(F.lit("A fee of USD 500 shall be due.")))
+    renumbered = F.transform(new, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". Term\n"), F.regexp_replace(x, "^([^ ]+) ", "$1 not ")))
+    a = rows.select("doc_id", F.array_join(numbered, "\n").alias("text"))
+    b = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.array_join(renumbered, "\n").alias("text"))
+    pairs_ = rows.select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("doc_a"), (F.col("doc_id") + 1).alias("doc_b"))
+    return compare.compare(pairs_, a.unionByName(b))[1]
