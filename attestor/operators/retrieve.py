@@ -109,7 +109,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
 def union_of_queries(found: DataFrame, k: int, text: str = "text") -> DataFrame:
     """Hits (query_idx, place, score, text) of several queries as one list: the first of those whose first 100 characters agree, best k by score."""
     first = Window.partitionBy(F.left(F.col(text), F.lit(100))).orderBy("query_idx", "place")
-    rows = found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    rows = found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return rows.orderBy(F.col("score").desc(), "query_idx", "place").limit(k)
 
 

@@ -32,7 +32,7 @@ def name_of(path: Column) -> Column:
 
 def text_of(content: Column) -> Column:
     """UTF-8 with replacement of what isn't, without white space at the ends."""
-    return F.regexp_replace(F.decode(content, "UTF-8"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), r"^\s+|\s+$", "")
 
 
 def docx_paragraphs(content: bytes | None, revisions: bool = True) -> list[str]:
