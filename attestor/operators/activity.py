@@ -125,3 +125,18 @@ def unfinished(docs: DataFrame) -> DataFrame:
     """Whether any document is unfinished, and a line that says which stages they are at."""
     open_ = ~F.col("status").isin("READY", "FAILED")
     return docs.agg(F.coalesce(F.bool_or(open_), F.lit(False)).alias("any"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(open_, F.struct("document_id", "stage")))), lambda d: d["stage"]), "; ").alias("text"))
+
+
+#: Roles from least to most.
+ROLES = ("viewer", "paralegal", "lawyer", "admin")
+
+
+def role_at_least(role: Column, least: str) -> Column:
+    """Whether a role stands at or above another; an unknown role stands below all."""
+    known = F.array(*map(F.lit, ROLES))
+    return F.array_position(known, F.lower(role)) >= ROLES.index(least) + 1
+
+
+def containing(rows: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose column holds a text, whatever its case."""
+    return rows.where(F.contains(F.lower(F.col(column)), F.lit(part.lower())))
