@@ -248,4 +248,7 @@ def similar_documents(
     small = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("node"))
     own = sets.join(small, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("node", "id").alias("node"))
     own = own.join(linked.select(F.col("id").alias("node"), "component"), "node", "left")
-    return own.groupBy(F.col("id").alias("doc_id")).agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "node")).alias("component_id"))
+    own = own.groupBy(F.col("id").alias("doc_id")).agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "node")).alias("component_id"))
+    own = work.keep(own, "own")
+    work.only("own")
+    return own

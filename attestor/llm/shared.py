@@ -31,11 +31,13 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: set[str] = set()
         steady(spark)
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
         df.write.parquet(path)
+        self.tables.add(table)
         # The shuffle files behind a written table go when the driver's garbage is collected; waiting would fill disks.
         self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
@@ -44,6 +46,12 @@ class Workspace:
         """Deletes a table that no later plan reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables.discard(table)
+
+    def only(self, *tables: str) -> None:
+        """Deletes all tables but these."""
+        for table in sorted(self.tables - set(tables)):
+            self.drop(table)
 
 
 def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -89,4 +97,5 @@ def components(work: Workspace, edges: DataFrame, name: str = "cc", rounds: int
             break
         before = after
     ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    # The last table stays, because what is returned reads it.
     return ends.union(now.select("b", "b").distinct())
