@@ -1,9 +1,8 @@
 """Benchmark items found again in training documents, whole, edited or paraphrased.
 
 Words are runs of letters and digits, lower-cased, so marks and case do not matter. The n-word grams of the items are
-seeds; how many documents hold each seed is counted over the whole corpus, and an item keeps its rarer ones, relative to
-each other: a passage that a third of all documents hold is still sought by its own grams. Where seeds of an item lie
-on nearby diagonals of a document, a Smith-Waterman alignment of the item with that stretch of words scores the copy.
+seeds, all of them, however many documents hold them: what is found in a document does not depend on the others. Where
+seeds of an item lie on nearby diagonals of a document, a Smith-Waterman alignment of the item with that stretch of words scores the copy.
 
 Items come in blocks of a bounded number of words; each block is sent to the tasks and meets all documents there.
 """
@@ -51,15 +50,9 @@ class Items:
         self.item, self.place = item[order], place[order]
         self.seeds, self.first, self.count = np.unique(seeds[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << (BITS - 3), np.uint8)
-        self.mark(np.ones(len(self.seeds), bool))
-        self.length = np.array([len(w) for w in self.words], np.int64)
-
-    def mark(self, use: np.ndarray) -> None:
-        """Only these seeds are sought from now on."""
-        self.use = use
-        low = (self.seeds[use] & U((1 << BITS) - 1)).astype(np.int64)
-        self.table[:] = 0
+        low = (self.seeds & U((1 << BITS) - 1)).astype(np.int64)
         np.bitwise_or.at(self.table, low >> 3, (1 << (low & 7)).astype(np.uint8))
+        self.length = np.array([len(w) for w in self.words], np.int64)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in grams that hold a seed, and which."""
@@ -68,26 +61,9 @@ class Items:
         if not len(at):
             return at, at
         seed = np.minimum(np.searchsorted(self.seeds, grams[at]), len(self.seeds) - 1)
-        same = (self.seeds[seed] == grams[at]) & self.use[seed]
+        same = self.seeds[seed] == grams[at]
         return at[same], seed[same]
 
-    def rarer(self, documents: np.ndarray, factor: float, floor: int) -> None:
-        """Keeps, for each item, the seeds in at most factor times as many documents as the lower quartile of its seeds."""
-        each = documents[np.repeat(np.arange(len(self.seeds)), self.count)]
-        order = np.lexsort((each, self.item))
-        item, seen = self.item[order], each[order]
-        start = np.searchsorted(item, np.arange(len(self.ids)))
-        stop = np.searchsorted(item, np.arange(len(self.ids)), "right")
-        quarter = np.zeros(len(self.ids))
-        full = stop > start
-        quarter[full] = seen[start[full] + (stop - start - 1)[full] // 4]
-        keep = each <= np.maximum(factor * quarter[self.item], floor)
-        self.item, self.place = self.item[keep], self.place[keep]
-        which = np.repeat(np.arange(len(self.seeds)), self.count)[keep]
-        self.count = np.bincount(which, minlength=len(self.seeds))
-        self.first = np.concatenate([[0], np.cumsum(self.count)[:-1]]).astype(np.int64)
-        self.mark(self.count > 0)
-
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = T.LOWER[data]
@@ -134,21 +110,6 @@ def stretches(doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarr
         yield int(doc[i]), int(item[i]), int(diagonal[i]) - pad, int(diagonal[j]) + size + pad
 
 
-def _counted(items: Items, n: int):
-    def run(batches):
-        seen = np.zeros(len(items.seeds), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in T.slices(batch.column(0)):
-                gram, begin = T.shingles(*words_of(data, offsets), n, False)
-                at, seed = items.hits(gram)
-                doc = np.searchsorted(begin, at, "right")
-                seen += np.bincount(np.unique(np.stack([doc, seed], 1), axis=0)[:, 1], minlength=len(seen)) if len(at) else 0
-        full = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(seen[full])], ["seed", "n"])
-
-    return run
-
-
 def leaks_in(items: Items, column: pa.Array, n: int, least: int, cut: float) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(len(column))]
     for top, _, data, offsets in T.slices(column):
@@ -189,7 +150,7 @@ def _found(items: Items, n: int, least: int, cut: float):
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, n: int = 3, cut: float = 0.55, least: int = 2, shortest: int = 5, factor: float = 4.0, floor: int = 20, block_words: int = 1_000_000
+    docs: DataFrame, items: DataFrame, n: int = 3, cut: float = 0.55, least: int = 2, shortest: int = 5, block_words: int = 1_000_000
 ) -> DataFrame:
     """Adds leaks, an array of (item_id, score) of the items that a document's text holds, to docs.
 
@@ -197,7 +158,7 @@ def find_leaks(
     (2 for equal words, -1 for others and for gaps) against that of the item with itself; an item is held from `cut` on. At
     least `least` different seeds of n words must lie near one diagonal. Items of fewer than `shortest` words, or with a
     null text, are not sought; a null or empty text holds none. Equal items are each reported. A column leaks of docs is
-    replaced. Items are taken in blocks of at most block_words words (or one longer item); each block costs two passes over the texts and
+    replaced. Items are taken in blocks of at most block_words words (or one longer item); each block costs one pass over the texts and
     no shuffle of them.
     """
     spark = docs.sparkSession
@@ -207,7 +168,6 @@ def find_leaks(
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
     out = docs.select(row.alias("row"), none.alias("leaks"))
-    text = docs.select(F.col("text").cast("string").alias("text"))
     block: list[tuple] = []
     size = 0
 
@@ -215,10 +175,6 @@ def find_leaks(
         made = Items(block, n, shortest)
         if not len(made.seeds):
             return out
-        counts = text.mapInArrow(_counted(made, n), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()  # a number for each seed of the block
-        seen = np.zeros(len(made.seeds), np.int64)
-        seen[counts.seed.to_numpy(np.int64)] = counts.n.to_numpy(np.int64)
-        made.rarer(seen, factor, floor)
         return out.select("row", "leaks").mapInArrow(_found(made, n, least, cut), f"row {kind}, leaks array<struct<item_id:bigint,score:double>>")
 
     for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").orderBy("item_id", "text").toLocalIterator():
