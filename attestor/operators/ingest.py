@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +121,40 @@ def canonical(pages: DataFrame, key: str = "doc_id", order: str = "page_no") ->
     return rows.select(key, "text", "page_count", F.length("text").cast("long").alias("char_count"), T.tokens(F.length("text")).alias("token_estimate"), "empty_pages")
 
 
+def canonical_facts(pages: DataFrame, key: str = "doc_id", order: str = "page_no") -> DataFrame:
+    """(key, text, page_count, char_count, token_estimate, n_empty) as of canonical, with the MD5 digest for the text, which is never put together.
+
+    The pages of a key are read in order, one after the other, and only the digest's state is held, so a key's text may be
+    of any length. A digest is serial: each key's pages pass through one task.
+    """
+
+    def run(batches):
+        now, digest = None, None
+        for batch in batches:
+            kind = batch.column(0).type
+            done = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or k != now:
+                    if digest is not None:
+                        done.append((now, digest.hexdigest()))
+                    now, digest = k, hashlib.md5()
+                else:
+                    digest.update(b"\n\n")
+                digest.update(t)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], kind), pa.array([x for _, x in done], pa.string())], ["_key", "text"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([digest.hexdigest()], pa.string())], ["_key", "text"])
+
+    own = pages.select(F.col(key).alias("_key"), F.col(order).alias("_order"), "text").where("text is not null").repartition("_key").sortWithinPartitions("_key", "_order", "text")
+    digests = own.select("_key", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"_key {pages.schema[key].dataType.simpleString()}, text string")
+    length = F.length("text").cast("long")
+    facts = pages.groupBy(key).agg(
+        F.count("*").alias("page_count"), F.coalesce(F.sum(length) + 2 * (F.count("text") - 1), F.lit(0).cast("long")).alias("char_count"),
+        F.count(F.when(visible(F.col("text")) < 5, F.col(order))).cast("int").alias("n_empty"))
+    rows = facts.join(digests, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return rows.select(key, F.coalesce("text", F.md5(F.lit(""))).alias("text"), "page_count", "char_count", T.tokens(F.col("char_count")).alias("token_estimate"), "n_empty")
+
+
 def status_of(rows: DataFrame) -> DataFrame:
     """Adds status, stage and error_code to documents with upload_error, scanned and char_count: a failure belongs to its row, not to the job."""
     error = F.coalesce("upload_error", F.when(F.col("scanned"), "SCANNED_PDF"))

@@ -324,8 +324,7 @@ def canonical_offsets(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS text, count(*)::BIGINT AS page_count, sum(length(text))::BIGINT + 2 * (count(*) - 1) AS char_count,
   ceil((sum(length(text)) + 2 * (count(*) - 1)) / 4)::BIGINT AS token_estimate, (count(*) FILTER (length(regexp_replace(text, '{_SPACE}+', '', 'g')) < 5))::INT AS n_empty FROM documents GROUP BY source""")
 def canonical_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = ingest.canonical(docs(spark, d, "source", "doc_id", "text"), "source", "doc_id")
-    return rows.select("source", F.md5("text").alias("text"), "page_count", "char_count", "token_estimate", F.size("empty_pages").alias("n_empty"))
+    return ingest.canonical_facts(docs(spark, d, "source", "doc_id", "text"), "source", "doc_id")
 
 
 @query(f"""WITH {OFFSETS_SQL}, probe AS (SELECT DISTINCT source, (doc_id * 7919 % 200000)::BIGINT AS pos FROM documents)
