@@ -633,13 +633,14 @@ def ask_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def compare_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Every second document compared with an edited version of itself: a moved, a changed, an added and a removed line."""
-    rows = docs(spark, d, "doc_id", "text").where("doc_id % 2 = 0")
+    """Every document compared with an edited version of itself: a moved, a changed, an added and a removed line."""
+    rows = docs(spark, d, "doc_id", "text")
+    old_id, new_id = F.col("doc_id") * 2, F.col("doc_id") * 2 + 1
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". Term\n"), x))
     lines = F.split("text", "\n")
     new = F.concat(F.slice(lines, 2, F.greatest(F.size(lines) - 2, F.lit(0))), F.slice(lines, 1, 1), F.array(F.lit("A fee of USD 500 shall be due.")))
     renumbered = F.transform(new, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". Term\n"), F.regexp_replace(x, "^([^ ]+) ", "$1 not ")))
-    a = rows.select("doc_id", F.array_join(numbered, "\n").alias("text"))
-    b = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.array_join(renumbered, "\n").alias("text"))
-    pairs_ = rows.select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("doc_a"), (F.col("doc_id") + 1).alias("doc_b"))
+    a = rows.select(old_id.alias("doc_id"), F.array_join(numbered, "\n").alias("text"))
+    b = rows.select(new_id.alias("doc_id"), F.array_join(renumbered, "\n").alias("text"))
+    pairs_ = rows.select(F.col("doc_id").alias("pair_id"), old_id.alias("doc_a"), new_id.alias("doc_b"))
     return compare.compare(pairs_, a.unionByName(b))[1]
