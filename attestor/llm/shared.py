@@ -76,26 +76,33 @@ def in_bitmap(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
 
+def _open_nodes(edges: DataFrame) -> int:
+    """How many nodes of edges (a, b) keep them from being stars: a node with two larger ends, or one that is both ends."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or up > 0 and down > 0").count()
+
+
 def components(work: Workspace, edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): a row (id, component) for each end, component the smallest id.
 
     Alternates large-star and small-star steps, each a groupBy with map-side combining and a join, and writes the
-    edges to the shared folder after each round until they stay the same. No step gathers a component in one place.
+    edges to the shared folder after each round until every edge ends in its component's smallest id. No step gathers a
+    component in one place. Raises if so many rounds do not suffice.
     """
     now = work.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    before = now.agg(F.count("*"), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first()
-    for k in range(1, rounds):
+    k = 0
+    while _open_nodes(now):
+        k += 1
+        if k > rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        pair = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(least, "a").select(F.explode(pair).alias("e")).select("e.*")
         now = work.keep(small.where("a <> b").distinct(), f"{name}{k}")
         work.drop(f"{name}{k - 1}")
-        after = now.agg(F.count("*"), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first()
-        if after == before:
-            break
-        before = after
     ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     # The last table stays, because what is returned reads it.
     return ends.union(now.select("b", "b").distinct())
