@@ -51,7 +51,9 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     known = np.ones(len(hashed), bool)
     text = np.searchsorted(offsets, first, "right")
     with np.errstate(over="ignore"):
-        pair = T.mix(hashed ^ np.roll(T.mix(hashed + U(1)), 1) ^ (text.astype(U) * U(0x9E3779B97F4A7C15)))
+        before = np.roll(T.mix(hashed + U(1)), 1)
+        before[:1], before[1:][text[1:] != text[:-1]] = 0, 0  # a text's first word follows no other text's last one
+        pair = T.mix(hashed ^ before ^ (text.astype(U) * U(0x9E3779B97F4A7C15)))
     known[np.unique(pair, return_index=True)[1]] = False
     solid = np.maximum(length - space, 1)
     tail = kind[ends - 1]
@@ -141,10 +143,12 @@ class Field:
         self.w, self.move = theta[:-4], theta[-4:].reshape(2, 2)
 
     def share(self, x: np.ndarray, length: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Length-weighted mean marginal of each text (0 without lines), and P(good) of each line."""
-        good = self.marginals(self.seen(x, begin) @ self.w, begin)[0] if len(x) else np.zeros(0)
-        part = lambda v: np.diff(np.concatenate([[0.0], np.cumsum(v)])[begin])
-        return part(good * length) / np.maximum(part(length), 1), good
+        """Length-weighted mean marginal of each text (0 without lines), and P(good) of each line.
+
+        Every sum is over one line's or one text's own values in their order, so a text's share is the same in any batch.
+        """
+        good = self.marginals(np.einsum("ij,j->i", self.seen(x, begin), self.w), begin)[0] if len(x) else np.zeros(0)
+        return _per_text(good * length, begin) / np.maximum(_per_text(length, begin), 1), good
 
     def score(self, share: np.ndarray) -> np.ndarray:
         a, b = self.curve
@@ -152,6 +156,11 @@ class Field:
         return 1 / (1 + np.exp(-(a * np.log(s / (1 - s)) + b)))
 
 
+def _per_text(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The sum of each text's values, 0 for a text without any."""
+    return np.add.reduceat(np.append(values, 0.0), np.minimum(begin[:-1], len(values))) * (np.diff(begin) > 0)
+
+
 def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int) -> Field:
     """docs: features and lengths of each document's lines."""
     x = np.concatenate([d[0] for d in docs])
@@ -207,15 +216,16 @@ def _scored(field: Field):
                 lines.append(np.diff(begin))
                 bad.append(np.diff(np.concatenate([[0], np.cumsum(good < 0.5)])[begin]))
             share, lines, bad = (np.concatenate(v) if v else np.zeros(0) for v in (share, lines, bad))
-            score = np.where(lines > 0, field.score(share), 0.0)
+            score = np.where(lines > 0, np.round(field.score(share), 9), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(lines.astype(np.int64)), pa.array(bad.astype(np.int64))], ["row", "score", "n_lines", "n_bad_lines"])
 
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_lines: int = 500, steps: int = 60) -> Field | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_lines: int = 500, steps: int = 60, all_lines: int = 200_000) -> Field | None:
     """Fits the field to at most `sample` labelled documents, chosen by a hash of their ids among those whose crc32(id)
-    mod 5 is not 0. Documents of over `most_lines` lines are scored but not learned from. None if there is no label of either kind.
+    mod 5 is not 0. Documents of over `most_lines` lines, and those that follow once the sample has `all_lines` lines, are scored but not learned from.
+    None if there is no label of either kind.
 
     labels: doc_id, quality (0 or 1); other values, nulls and ids labelled both ways are not used.
     """
@@ -226,6 +236,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_lin
     # At most `sample` rows of two numbers are broadcast, and as many feature rows come back.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     rows = own.select("text", "quality").mapInArrow(_featured(most_lines), "x binary, length binary, quality int").orderBy(F.md5("x")).limit(sample).collect()
+    lines = np.cumsum([len(r.length) // 8 for r in rows])
+    rows = [r for r, n in zip(rows, lines.tolist(), strict=True) if n <= all_lines]
     y = np.array([r.quality for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return None

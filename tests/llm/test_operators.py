@@ -156,6 +156,20 @@ def test_mix(spark):
     assert all(abs(t.taken[s] - t.target[s]) <= 0.05 * t.target[s] for s in names)
 
 
+def test_scores_do_not_depend_on_batches_or_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    field = line_quality.fit_quality(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), steps=20)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    try:
+        for rows, parts in ((1, 1), (7, 13), (1000, 1), (1000, 13)):
+            spark.conf.set(key, str(rows))
+            seen.append({r.doc_id: r.score for r in line_quality.score_quality(docs.repartition(parts), field).collect()})
+    finally:
+        spark.conf.set(key, before)
+    assert len(seen[0]) > 100 and all(s == seen[0] for s in seen)
+
+
 def test_quality(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
