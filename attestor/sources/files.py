@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,53 +36,72 @@ def text_of(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), r"^\s+|\s+$", "")
 
 
-def docx_paragraphs(content: bytes | None, revisions: bool = True) -> list[str]:
-    """Texts of a Word document's paragraphs, tables included. With revisions, inserted text counts and deleted text doesn't."""
+def _docx_root(content: bytes | None) -> ElementTree.Element | None:
+    """The body of a Word document; None where the bytes are none."""
     try:
-        root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content or b"")).read("word/document.xml"))
+        return ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content or b"")).read("word/document.xml"))
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return []
-    out = []
-    for p in root.iter(f"{WORD}p"):
-        skip = {id(t) for d in p.iter(f"{WORD}del") for t in d.iter()} if revisions else {id(t) for d in p.iter(f"{WORD}ins") for t in d.iter()}
-        names = {f"{WORD}t": lambda e: e.text or "", f"{WORD}tab": lambda _: "\t", f"{WORD}br": lambda _: "\n", f"{WORD}delText": lambda e: "" if revisions else e.text or ""}
-        out.append("".join(names[e.tag](e) for e in p.iter() if e.tag in names and id(e) not in skip))
-    return out
+        return None
+
+
+def _shown(part: ElementTree.Element, revisions: bool) -> str:
+    """The text below an element: with revisions inserted text counts and deleted text doesn't, without them the other way round."""
+    skip = {id(t) for d in part.iter(f"{WORD}{'del' if revisions else 'ins'}") for t in d.iter()}
+    marks = {f"{WORD}tab": "\t", f"{WORD}br": "\n"}
+    own = (f"{WORD}t",) if revisions else (f"{WORD}t", f"{WORD}delText")
+    return "".join(marks.get(e.tag, e.text or "") for e in part.iter() if (e.tag in marks or e.tag in own) and id(e) not in skip)
+
+
+def docx_paragraphs(content: bytes | None, revisions: bool = True) -> list[str] | None:
+    """Texts of a Word document's paragraphs, tables included; None if it can't be read."""
+    root = _docx_root(content)
+    return None if root is None else [_shown(p, revisions) for p in root.iter(f"{WORD}p")]
 
 
 @F.pandas_udf(StringType())
 def docx_text(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: "\n".join(t for t in docx_paragraphs(c) if t.strip()))
+    """Paragraphs with text, one to a line; null if the document can't be read."""
+    found = (docx_paragraphs(c) for c in contents)
+    return pd.Series([None if x is None else "\n".join(t for t in x if t.strip()) for x in found], contents.index, object)
 
 
-@F.pandas_udf(StringType())
-def docx_html(contents: pd.Series) -> pd.Series:
-    """Paragraphs as HTML, inserted and deleted runs marked."""
-
-    def one(content: bytes | None) -> str:
-        try:
-            root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content or b"")).read("word/document.xml"))
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-            return ""
-        safe = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-        out = []
-        for p in root.iter(f"{WORD}p"):
-            style = p.find(f"{WORD}pPr/{WORD}pStyle")
-            level = re.match(r"Heading([1-6])$", style.get(f"{WORD}val", "") if style is not None else "")
-            tag = f"h{level[1]}" if level else "p"
-            text = ""
-            for child in p:
-                inner = safe("".join(t.text or "" for t in child.iter() if t.tag in (f"{WORD}t", f"{WORD}delText")))
-                mark = {f"{WORD}ins": "ins", f"{WORD}del": "del"}.get(child.tag)
-                text += f"<{mark}>{inner}</{mark}>" if mark else inner
-            out.append(f"<{tag}>{text}</{tag}>")
-        return "".join(out)
-
-    return contents.map(one)
+def _paragraph_html(p: ElementTree.Element, show: bool) -> str:
+    style = p.find(f"{WORD}pPr/{WORD}pStyle")
+    level = re.match(r"Heading([1-6])$", style.get(f"{WORD}val", "") if style is not None else "")
+    tag = f"h{level[1]}" if level else "p"
+    text = ""
+    for child in p:
+        mark = {f"{WORD}ins": "ins", f"{WORD}del": "del"}.get(child.tag)
+        inner = escape("".join(t.text or "" for t in child.iter() if t.tag in (f"{WORD}t", f"{WORD}delText")))
+        text += f"<{mark}>{inner}</{mark}>" if mark and show else "" if mark == "del" else inner
+    return f"<{tag}>{text}</{tag}>"
+
+
+def _block_html(parent: ElementTree.Element, show: bool) -> str:
+    """Paragraphs and tables in their order; a table's cells hold blocks again."""
+    out = []
+    for child in parent:
+        if child.tag == f"{WORD}p":
+            out.append(_paragraph_html(child, show))
+        elif child.tag == f"{WORD}tbl":
+            rows = ("".join(f"<td>{_block_html(cell, show)}</td>" for cell in row.findall(f"{WORD}tc")) for row in child.findall(f"{WORD}tr"))
+            out.append("<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>")
+    return "".join(out)
+
+
+def docx_html(contents: Column | str, show_revisions: bool = True) -> Column:
+    """Paragraphs and tables as HTML; null if the document can't be read. Inserted and deleted runs are marked, or taken as accepted."""
+
+    @F.pandas_udf(StringType())
+    def made(contents: pd.Series) -> pd.Series:
+        roots = (_docx_root(c) for c in contents)
+        return pd.Series([None if r is None else "".join(_block_html(body, show_revisions) for body in r.iter(f"{WORD}body")) for r in roots], contents.index, object)
+
+    return made(contents)
 
 
 def documents(found: DataFrame) -> DataFrame:
-    """(path, name, kind, text, error) of files by suffix. A suffix that no reader has is an error of its row.
+    """(path, name, kind, text, error) of files by suffix. A suffix that no reader has, or a Word document that can't be read, is an error of its row.
 
     PDF text comes from extracted items (see page_items): no PDF reader is part of this library.
     """
@@ -89,7 +109,9 @@ def documents(found: DataFrame) -> DataFrame:
     kind = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     rows = found.select("path", name.alias("name"), kind.alias("kind"), "content")
     text = F.when(F.col("kind").isin("txt", "md"), text_of(F.col("content"))).when(F.col("kind") == "docx", docx_text(F.when(F.col("kind") == "docx", F.col("content"))))
-    return rows.withColumn("text", text).withColumn("error", F.when(~F.col("kind").isin("txt", "md", "docx"), F.concat(F.lit("Unsupported file type: "), "kind"))).drop("content")
+    unknown = F.when(~F.col("kind").isin("txt", "md", "docx"), F.concat(F.lit("Unsupported file type: "), "kind"))
+    broken = F.when((F.col("kind") == "docx") & F.col("text").isNull(), F.lit("Unreadable Word document"))
+    return rows.withColumn("text", text).withColumn("error", F.coalesce(unknown, broken)).drop("content")
 
 
 def page_items(spark: SparkSession, path: str) -> DataFrame:

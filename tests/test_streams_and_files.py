@@ -1,5 +1,6 @@
 import io
 import zipfile
+from xml.sax.saxutils import escape
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def docx(*paragraphs: str) -> bytes:
-    body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs) + "<w:p><w:ins><w:r><w:t>in</w:t></w:r></w:ins><w:del><w:r><w:delText>out</w:delText></w:r></w:del></w:p>"
+    body = "".join(f"<w:p><w:r><w:t>{escape(p)}</w:t></w:r></w:p>" for p in paragraphs) + "<w:p><w:ins><w:r><w:t>in</w:t></w:r></w:ins><w:del><w:r><w:delText>out</w:delText></w:r></w:del></w:p>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
@@ -25,11 +26,25 @@ def test_files_become_texts(spark, tmp_path):
     (tmp_path / "c.xyz").write_bytes(b"?")
     (tmp_path / "d.docx").write_bytes(b"no zip")
     rows = {r.name: r for r in files.documents(files.files(spark, str(tmp_path))).collect()}
-    assert rows["a.txt"].text == "hello �" and rows["b.docx"].text == "One\nTwo\nin" and rows["d.docx"].text == ""
+    assert rows["a.txt"].text == "hello �" and rows["b.docx"].text == "One\nTwo\nin" and rows["d.docx"].text is None
+    assert rows["d.docx"].error == "Unreadable Word document" and rows["b.docx"].error is None
     assert rows["c.xyz"].error == "Unsupported file type: xyz"
     assert files.folder_size(spark, str(tmp_path)).first().bytes == sum(p.stat().st_size for p in tmp_path.iterdir())
     html = spark.createDataFrame([(docx("A & B"),)], "c binary").select(files.docx_html("c").alias("h")).first().h
-    assert html == "<p>A &amp; B</p><p><ins>in</ins><del>out</del></p>".replace("&amp;amp;", "&amp;") or "<ins>in</ins>" in html
+    assert html == "<p>A &amp; B</p><p><ins>in</ins><del>out</del></p>"
+
+
+def test_word_tables_and_revisions_become_html(spark):
+    cell = "<w:tc><w:p><w:r><w:t>{}</w:t></w:r></w:p></w:tc>"
+    body = f"<w:tbl><w:tr>{cell.format('a')}{cell.format('b')}</w:tr></w:tbl><w:p><w:ins><w:r><w:t>in</w:t></w:r></w:ins><w:del><w:r><w:delText>out</w:delText></w:r></w:del></w:p>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    rows = spark.createDataFrame([(out.getvalue(),), (b"no zip",)], "c binary")
+    shown, plain = (rows.select(files.docx_html("c", show)).collect() for show in (True, False))
+    table = "<table><tr><td><p>a</p></td><td><p>b</p></td></tr></table>"
+    assert [r[0] for r in shown] == [table + "<p><ins>in</ins><del>out</del></p>", None]
+    assert plain[0][0] == table + "<p>in</p>"
 
 
 def test_replaced_partitions_leave_others(spark, tmp_path):
