@@ -1,12 +1,18 @@
 """Exact n-gram Jaccard self-join of documents through a token-group matrix.
 
 A document's set holds the 64-bit hashes of its distinct k-word shingles. Documents with equal sets are one node.
-Similar nodes are put into groups: nodes that share a minimum hash are compared with one node among them, another one for
-each hash function, and nodes that link with it join its group. The token-group matrix then holds, for each shingle that can matter, the groups
-whose union contains it. It only needs each set's prefix in one order of all shingles (frequent ones last): a set
-overlaps a group's union by less than the bound if none of its prefix is in it. Groups that share no such shingle are
-never opened; of the others only members within the size and position bounds are, and every such pair is compared by
-its whole texts. The minimum hashes decide how much work remains, never which links are found.
+
+1. Similar nodes are put into groups. Nodes that share a minimum hash are compared with one node among them, first another
+   one for each hash function, then the one with the fewest shingles of its own, which of a group of near copies is the
+   one that most others link with. Nodes that link join a group.
+2. The token-group matrix holds, for each shingle that can matter, the groups whose union contains it. Only each set's
+   prefix in one order of all shingles (frequent ones last) can matter.
+3. For each query (a node) and group, the shingles of the query's prefix that the group's union has are counted. A member
+   can only link with the query if that count reaches a bound that follows from the sizes; groups below it stay closed.
+4. In open groups the same count is taken for each member that shares such a shingle. Pairs that reach their own bound
+   are compared by sketches, then by their whole texts.
+
+The minimum hashes decide how much work remains, never which links are found.
 
 The frequent shingles come from counts of all shingles of all documents in 2**16 buckets, and from exact counts over
 first prefixes kept as a bitmap, so what tasks are sent has the same size for any corpus. No pair within a group of copies is listed.
@@ -14,6 +20,8 @@ first prefixes kept as a bitmap, so what tasks are sent has the same size for an
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,13 +102,18 @@ def prefix_of(s: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarra
 
 
 def _reorder(k: int, num: int, den: int, heavy: np.ndarray, crowded: np.ndarray):
-    """Prefixes again, with the hashes in the bitmap crowded among the frequent ones."""
+    """Prefixes again, with the hashes in the bitmap crowded among the frequent ones, and how many hashes are neither."""
 
     def run(batches):
         for batch in batches:
-            pre = [prefix_of(s, heavy[(s >> U(64 - BUCKETS)).astype(np.int64)] | in_bitmap(crowded, s), num, den) for _, sets in sets_of(batch.column(1), k) for s in sets]
+            pre, own = [], []
+            for _, sets in sets_of(batch.column(1), k):
+                for s in sets:
+                    often = heavy[(s >> U(64 - BUCKETS)).astype(np.int64)] | in_bitmap(crowded, s)
+                    pre.append(prefix_of(s, often, num, den))
+                    own.append(len(s) - int(often.sum()))
             begin = np.concatenate([[0], np.cumsum([len(p) for p in pre])]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), T.nested(np.concatenate([np.zeros(0, U), *pre]), begin)], ["id", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), T.nested(np.concatenate([np.zeros(0, U), *pre]), begin), pa.array(own, pa.int32())], ["id", "prefix", "own"])
 
     return run
 
@@ -175,12 +188,49 @@ def _common(docs: DataFrame, star: DataFrame, k: int, crowd: int) -> DataFrame:
     return near.mapInArrow(_tokens(k), "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
 
 
+def _least_common(num: int, den: int, one: str, other: str) -> str:
+    """SQL for the smallest intersection with which two sets of these sizes link."""
+    return f"(({num} * (cast({one} as long) + {other}) + {num + den - 1}) div {num + den})"
+
+
+def _least_prefix(num: int, den: int, one: str, other: str) -> str:
+    """SQL for the smallest number of common shingles in the prefixes of two sets of these sizes that link.
+
+    What the set whose prefix ends first in the common order holds behind it is less than its own least intersection with any set.
+    """
+    kept = f"(({num} * cast(greatest({one}, {other}) as long) + {den - 1}) div {den})"
+    return f"({_least_common(num, den, one, other)} - {kept} + 1)"
+
+
+def _query_groups(work: Workspace, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) of nodes of different groups. rows: token, grp, id, n (set size), at (place of the token in the prefix)."""
+    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    shared = matrix.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    matrix = work.keep(matrix.join(shared, "token"), "matrix")
+    query = rows.select("token", F.col("grp").alias("grpx"), F.col("id").alias("a"), F.col("n").alias("nx"), F.col("at").alias("atx"))
+    held = query.join(matrix, "token").where((F.col("grpx") < F.col("grp")) & (F.col("nx") * den >= F.col("lo") * num) & (F.col("hi") * den >= F.col("nx") * num))
+    held = work.keep(held.select("token", "a", "nx", "atx", "grp", "lo", "hi"), "held")
+    work.drop("matrix")
+    counts = held.groupBy("a", "nx", "grp").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # The bound falls towards both ends of the sizes that members can have, up to one that rounding moves.
+    counts = counts.withColumn("lo", F.expr(f"greatest(lo, (nx * {num} + {den - 1}) div {den})")).withColumn("hi", F.expr(f"least(hi, nx * {den} div {num})"))
+    open_ = counts.where(f"lo <= hi and c >= least({_least_prefix(num, den, 'nx', 'lo')}, {_least_prefix(num, den, 'nx', 'hi')}) - 1").select("a", "grp")
+    member = rows.select("token", "grp", F.col("id").alias("b"), F.col("n").alias("ny"), F.col("at").alias("aty"))
+    both = held.join(open_, ["a", "grp"], "left_semi").join(member, ["token", "grp"]).where((F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num))
+    both = both.groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("c"), F.max(F.least(F.expr("nx - atx"), F.expr("ny - aty"))).alias("room"))
+    # At a pair's first common shingle all that it shares lies from there on.
+    fits = f"room >= {_least_common(num, den, 'nx', 'ny')} and c >= {_least_prefix(num, den, 'nx', 'ny')}"
+    pairs = work.keep(both.where(fits).select("a", "b"), "pairs")
+    work.drop("held")
+    return pairs
+
+
 def _links(work: Workspace, docs: DataFrame, signed: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose texts link. Sketches of a few bytes for each word sort out most others; texts decide the rest."""
     short = signed.select("id", "n", "sketch")
     both = pairs.join(short.select(F.col("id").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("kx")), "a")
     both = both.join(short.select(F.col("id").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("ky")), "b")
-    pairs = work.keep(both.select("a", "b", "nx", "ny", "kx", "ky").mapInArrow(_bounded(num, den), "a long, b long").distinct(), f"open{id(both)}")
+    pairs = work.keep(both.select("a", "b", "nx", "ny", "kx", "ky").mapInArrow(_bounded(num, den), "a long, b long").distinct(), f"open-{uuid.uuid4().hex}")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     near = docs.mapInArrow(_among(bitmap(ids, "id", ID_BITS)), "id long, text string")
     both = pairs.join(near.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(near.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -220,29 +270,27 @@ def similar_documents(
     star = low.join(first, ["f", "m"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     star = work.keep(star, "star")
     near = work.keep(_links(work, docs, signed, star, words, num, den).distinct(), "near")
-    group = components(work, near, "group").select("id", F.col("component").alias("grp"))
+    group = work.keep(components(work, near, "group").select("id", F.col("component").alias("grp")), "groups")
 
     tokens = signed.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= crowd)
     crowded = bitmap(tokens.select("token").unionByName(_common(docs, star, words, crowd)), "token", ID_BITS)
-    prefixes = work.keep(docs.mapInArrow(_reorder(words, num, den, heavy, crowded), "id long, prefix array<long>"), "prefixes")
+    prefixes = work.keep(docs.mapInArrow(_reorder(words, num, den, heavy, crowded), "id long, prefix array<long>, own int"), "prefixes")
+    work.drop("star")
+
+    # Of each bucket's nodes the one with the fewest shingles of its own, and of a node's buckets the one where that is smallest.
+    bare = low.join(prefixes.select("id", "own"), "id").join(group, "id", "left").select("f", "m", "id", "own", F.coalesce("grp", "id").alias("grp"))
+    plain = bare.groupBy("f", "m").agg(F.min(F.struct("own", "id", "grp")).alias("p"), F.count("*").alias("c")).where("c > 1").select("f", "m", "p")
+    again = bare.join(plain, ["f", "m"]).where("grp <> p.grp").groupBy(F.col("id").alias("b")).agg(F.min("p").alias("p")).select(F.col("p.id").alias("a"), "b")
+    near = near.unionByName(work.keep(_links(work, docs, signed, work.keep(again, "again"), words, num, den), "near-again"))
+    group = work.keep(components(work, near, "grown").select("id", F.col("component").alias("grp")), "grown-groups")
+
     rows = prefixes.where(F.size("prefix") > 0).join(signed.select("id", "n").join(nodes, (nodes.id == signed.id) & (nodes.size == signed.n), "left_semi"), "id")
     rows = rows.join(group, "id", "left").select(F.coalesce("grp", "id").alias("grp"), "id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
     twice = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     rows = work.keep(rows.join(twice, "token"), "rows")
-    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    shared = matrix.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    matrix = work.keep(matrix.join(shared, "token"), "matrix")
-    x, y = (matrix.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("grp", "lo", "hi"))) for s in "xy")
-    opened = x.join(y, "token").where((F.col("grpx") < F.col("grpy")) & (F.col("hix") * den >= F.col("loy") * num) & (F.col("hiy") * den >= F.col("lox") * num)).select("token", "grpx", "grpy")
-    x, y = (rows.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("grp", "id", "at", "n"))) for s in "xy")
-    least = F.expr(f"({num} * (cast(nx as long) + ny) + {num + den - 1}) div {num + den}")
-    # At a pair's first common shingle all that it shares lies from there on, so a pair that links has a row that fits.
-    fits = F.least(F.expr("nx - atx"), F.expr("ny - aty")) >= least
-    sized = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
-    members = opened.join(x, ["token", "grpx"]).join(y, ["token", "grpy"]).where(sized & fits)
-    pairs = work.keep(members.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct(), "pairs")
-    work.drop("matrix")
+    pairs = _query_groups(work, rows, num, den)
     work.drop("rows")
+    work.drop("prefixes")
     linked = components(work, near.unionByName(_links(work, docs, signed, pairs, words, num, den)), "linked")
 
     small = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("node"))
