@@ -168,8 +168,9 @@ def find_leaks(
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
     out = docs.select(row.alias("row"), none.alias("leaks"))
+    work = Workspace(spark, "leaks")
     block: list[tuple] = []
-    size = 0
+    size = blocks = 0
 
     def add(out: DataFrame) -> DataFrame:
         made = Items(block, n, shortest)
@@ -180,8 +181,9 @@ def find_leaks(
     for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").orderBy("item_id", "text").toLocalIterator():
         words = len(r[1]) // 2 + 1
         if block and size + words > block_words:
-            out, block, size = add(out), [], 0
-            out = Workspace(spark, "leaks").keep(out, "block")
+            out, block, size, blocks = work.keep(add(out), f"block{blocks}"), [], 0, blocks + 1
+            if blocks > 1:
+                work.drop(f"block{blocks - 2}")
         block.append((r[0], r[1]))
         size += words
     if block:

@@ -38,13 +38,15 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.select("list", "kind", "key", F.col("at").alias("start"), "end")
 
 
-def judge_captures(captures: DataFrame, entries: DataFrame, id_column: str = "page_id", url_column: str = "url", time_column: str = "fetched_at", allow: tuple[str, ...] = ("allow",), salts: int = 16) -> DataFrame:
+def judge_captures(captures: DataFrame, entries: DataFrame, id_column: str = "page_id", url_column: str = "url", time_column: str = "fetched_at", allow: tuple[str, ...] = ("allow",), salts: int = 16, sendable: int = 1_000_000) -> DataFrame:
     """Returns a row for each capture: page_id, url, fetched_at, host, lists (sorted names of block lists in force), allowed, blocked.
 
     kind is 'host' (that host), 'domain' (it and all below it) or 'page' (host and path). blocked: some list not in
     `allow` holds the capture and none in `allow` does. A capture with a null or hostless URL, or a null time, is in no
     list. Repeated captures each keep their row. Keys are salted, so a host with a third of all captures meets its few
-    intervals in many tasks; the intervals are repeated once for each salt. Other columns of either table are ignored.
+    intervals in many tasks; the intervals are repeated once for each salt. Where the lists have at most `sendable` different
+    keys these are sent to all tasks first, and captures' keys that no list has, such as top-level domains, are not shuffled;
+    beyond that bound all keys are. Other columns of either table are ignored.
     """
     rows = captures.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(time_column).cast("timestamp").alias("fetched_at"))
     rows = rows.withColumn("host", host_of(F.col("url")))
@@ -52,8 +54,13 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_column: str = "pa
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
     keys = F.concat(parents, F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("key")), F.struct(F.lit("page").alias("kind"), F.lower(bare(F.col("url"))).alias("key"))))
     asked = rows.where("host is not null and fetched_at is not null").distinct()
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("url", "fetched_at", "page_id"), F.lit(salts)).cast("int")).select("page_id", "url", "fetched_at", "salt", F.explode(keys).alias("k")).select("page_id", "url", "fetched_at", "salt", "k.*")
-    spans = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("url", "fetched_at", "page_id"), F.lit(salts)).cast("int"))
+    asked = asked.select("page_id", "url", "fetched_at", "salt", F.explode(keys).alias("k")).select("page_id", "url", "fetched_at", "salt", "k.*")
+    spans = intervals(entries)
+    listed = spans.select("kind", "key").distinct()
+    if listed.limit(sendable + 1).count() <= sendable:
+        asked = asked.join(F.broadcast(listed), ["kind", "key"], "left_semi")
+    spans = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     held = asked.join(spans, ["kind", "key", "salt"]).where((F.col("start") <= F.col("fetched_at")) & (F.col("end").isNull() | (F.col("fetched_at") < F.col("end"))))
     held = held.groupBy(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("fetched_at").alias("t")).agg(
         F.sort_array(F.collect_set(F.when(~F.col("list").isin(*allow), F.col("list")))).alias("lists"), F.bool_or(F.col("list").isin(*allow)).alias("allowed")
