@@ -7,10 +7,10 @@ A document's set holds the 64-bit hashes of its distinct k-word shingles. Docume
    one that most others link with. Nodes that link join a group.
 2. The token-group matrix holds, for each shingle that can matter, the groups whose union contains it. Only each set's
    prefix in one order of all shingles (frequent ones last) can matter.
-3. For each query (a node) and group, the shingles of the query's prefix that the group's union has are counted. A member
-   can only link with the query if that count reaches a bound that follows from the sizes; groups below it stay closed.
-4. In open groups the same count is taken for each member that shares such a shingle. Pairs that reach their own bound
-   are compared by sketches, then by their whole texts.
+3. A query (a node) overlaps a group's union by no more than what the query, and any member, holds from their first common
+   shingle on. A group whose bound is below the overlap that its smallest fitting member would need stays closed.
+4. In open groups the same bound is taken for each member that shares such a shingle. Pairs that pass it are compared by
+   sketches, then by their whole texts.
 
 The minimum hashes decide how much work remains, never which links are found.
 
@@ -131,7 +131,8 @@ def _sign(k: int, num: int, den: int, functions: int, heavy: np.ndarray):
                     own = rare if len(rare) else s
                     n.append(len(s))
                     sketch.append(sketch_of(s))
-                    low.append([T.mix(own ^ x).min() for x in seeds] if len(s) else [U(0)] * functions)
+                    # Half of the functions see all of a set, also what a large group of copies makes frequent, half only what is rare.
+                    low.append([T.mix((s if i % 2 else own) ^ x).min() for i, x in enumerate(seeds)] if len(s) else [U(0)] * functions)
                     pre.append(prefix_of(s, often, num, den))
                     begin.append(begin[-1] + len(pre[-1]))
             low = np.array(low, U).reshape(-1)
@@ -193,34 +194,21 @@ def _least_common(num: int, den: int, one: str, other: str) -> str:
     return f"(({num} * (cast({one} as long) + {other}) + {num + den - 1}) div {num + den})"
 
 
-def _least_prefix(num: int, den: int, one: str, other: str) -> str:
-    """SQL for the smallest number of common shingles in the prefixes of two sets of these sizes that link.
-
-    What the set whose prefix ends first in the common order holds behind it is less than its own least intersection with any set.
-    """
-    kept = f"(({num} * cast(greatest({one}, {other}) as long) + {den - 1}) div {den})"
-    return f"({_least_common(num, den, one, other)} - {kept} + 1)"
-
-
 def _query_groups(work: Workspace, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) of nodes of different groups. rows: token, grp, id, n (set size), at (place of the token in the prefix)."""
-    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    """Candidate pairs (a, b) of nodes of different groups. rows: token, grp, id, n (set size), at (place of the token in the set's order)."""
+    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.expr("n - at")).alias("room"))
     shared = matrix.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     matrix = work.keep(matrix.join(shared, "token"), "matrix")
     query = rows.select("token", F.col("grp").alias("grpx"), F.col("id").alias("a"), F.col("n").alias("nx"), F.col("at").alias("atx"))
-    held = query.join(matrix, "token").where((F.col("grpx") < F.col("grp")) & (F.col("nx") * den >= F.col("lo") * num) & (F.col("hi") * den >= F.col("nx") * num))
-    held = work.keep(held.select("token", "a", "nx", "atx", "grp", "lo", "hi"), "held")
+    # The overlap of a query with a member is at most what either set holds from their first common shingle on, and must be
+    # the more the larger the member: the smallest size that a member here can have gives the group's bound.
+    smallest = f"greatest(lo, (cast(nx as long) * {num} + {den - 1}) div {den})"
+    opens = F.expr(f"grpx < grp and nx * {den} >= lo * {num} and hi * {den} >= nx * {num} and least(nx - atx, room) >= {_least_common(num, den, 'nx', smallest)}")
+    held = work.keep(query.join(matrix, "token").where(opens).select("token", "a", "nx", "atx", "grp"), "held")
     work.drop("matrix")
-    counts = held.groupBy("a", "nx", "grp").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    # The bound falls towards both ends of the sizes that members can have, up to one that rounding moves.
-    counts = counts.withColumn("lo", F.expr(f"greatest(lo, (nx * {num} + {den - 1}) div {den})")).withColumn("hi", F.expr(f"least(hi, nx * {den} div {num})"))
-    open_ = counts.where(f"lo <= hi and c >= least({_least_prefix(num, den, 'nx', 'lo')}, {_least_prefix(num, den, 'nx', 'hi')}) - 1").select("a", "grp")
     member = rows.select("token", "grp", F.col("id").alias("b"), F.col("n").alias("ny"), F.col("at").alias("aty"))
-    both = held.join(open_, ["a", "grp"], "left_semi").join(member, ["token", "grp"]).where((F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num))
-    both = both.groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("c"), F.max(F.least(F.expr("nx - atx"), F.expr("ny - aty"))).alias("room"))
-    # At a pair's first common shingle all that it shares lies from there on.
-    fits = f"room >= {_least_common(num, den, 'nx', 'ny')} and c >= {_least_prefix(num, den, 'nx', 'ny')}"
-    pairs = work.keep(both.where(fits).select("a", "b"), "pairs")
+    fits = F.expr(f"nx * {den} >= ny * {num} and ny * {den} >= nx * {num} and least(nx - atx, ny - aty) >= {_least_common(num, den, 'nx', 'ny')}")
+    pairs = work.keep(held.join(member, ["token", "grp"]).where(fits).select("a", "b").distinct(), "pairs")
     work.drop("held")
     return pairs
 
@@ -265,9 +253,9 @@ def similar_documents(
     nodes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("id")).select("id", F.col("n").alias("size"))
     signed = work.keep(docs.mapInArrow(_sign(words, num, den, functions, heavy), "id long, n long, low array<long>, prefix array<long>, sketch binary"), "signed")
 
-    low = signed.select("id", "n", "low").join(nodes, (nodes.id == signed.id) & (nodes.size == signed.n), "left_semi").select("id", F.posexplode("low").alias("f", "m"))
+    low = signed.select("id", "n", "low").join(nodes, (nodes.id == signed.id) & (nodes.size == signed.n), "left_semi").select("id", "n", F.posexplode("low").alias("f", "m"))
     first = low.groupBy("f", "m").agg(F.min_by("id", F.xxhash64("id", "f")).alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    star = low.join(first, ["f", "m"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    star = low.drop("n").join(first, ["f", "m"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     star = work.keep(star, "star")
     near = work.keep(_links(work, docs, signed, star, words, num, den).distinct(), "near")
     group = work.keep(components(work, near, "group").select("id", F.col("component").alias("grp")), "groups")
@@ -277,10 +265,11 @@ def similar_documents(
     prefixes = work.keep(docs.mapInArrow(_reorder(words, num, den, heavy, crowded), "id long, prefix array<long>, own int"), "prefixes")
     work.drop("star")
 
-    # Of each bucket's nodes the one with the fewest shingles of its own, and of a node's buckets the one where that is smallest.
-    bare = low.join(prefixes.select("id", "own"), "id").join(group, "id", "left").select("f", "m", "id", "own", F.coalesce("grp", "id").alias("grp"))
-    plain = bare.groupBy("f", "m").agg(F.min(F.struct("own", "id", "grp")).alias("p"), F.count("*").alias("c")).where("c > 1").select("f", "m", "p")
-    again = bare.join(plain, ["f", "m"]).where("grp <> p.grp").groupBy(F.col("id").alias("b")).agg(F.min("p").alias("p")).select(F.col("p.id").alias("a"), "b")
+    # Of each bucket's nodes of like size the one with the fewest shingles of its own, and of a node's buckets the one where that is smallest.
+    like = F.floor(F.log("n") / F.log(F.lit(den / num)) if num < den else F.col("n")).alias("like")
+    bare = low.join(prefixes.select("id", "own"), "id").join(group, "id", "left").select("f", "m", like, "id", "own", F.coalesce("grp", "id").alias("grp"))
+    plain = bare.groupBy("f", "m", "like").agg(F.min(F.struct("own", "id", "grp")).alias("p"), F.count("*").alias("c")).where("c > 1").select("f", "m", "like", "p")
+    again = bare.join(plain, ["f", "m", "like"]).where("grp <> p.grp").groupBy(F.col("id").alias("b")).agg(F.min("p").alias("p")).select(F.col("p.id").alias("a"), "b")
     near = near.unionByName(work.keep(_links(work, docs, signed, work.keep(again, "again"), words, num, den), "near-again"))
     group = work.keep(components(work, near, "grown").select("id", F.col("component").alias("grp")), "grown-groups")
 
