@@ -121,10 +121,12 @@ def healthy(checks: DataFrame, optional: str) -> DataFrame:
     return checks.where(F.col("name") != optional).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("healthy"))
 
 
-def unfinished(docs: DataFrame) -> DataFrame:
-    """Whether any document is unfinished, and a line that says which stages they are at."""
+def unfinished(docs: DataFrame, *owner: str) -> DataFrame:
+    """Whether any document of an owner (of all, without one) is unfinished, and a line that says which stages they are at."""
     open_ = ~F.col("status").isin("READY", "FAILED")
-    return docs.agg(F.coalesce(F.bool_or(open_), F.lit(False)).alias("any"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(open_, F.struct("document_id", "stage")))), lambda d: d["stage"]), "; ").alias("text"))
+    listed = F.array_sort(F.collect_list(F.when(open_, F.struct("document_id", "stage"))))
+    line = F.array_join(F.transform(listed, lambda d: d["stage"]), "; ")
+    return docs.groupBy(*owner).agg(F.coalesce(F.bool_or(open_), F.lit(False)).alias("any"), line.alias("text"))
 
 
 #: Roles from least to most.

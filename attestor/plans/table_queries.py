@@ -152,9 +152,9 @@ def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
     return relations.latest_per_key(table(spark, d, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 500")
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0")
 def upsert(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").where("c_custkey % 3 = 0 and c_custkey < 500").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"))
+    rows = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"))
     return relations.upsert(table(spark, d, "supplier").select("s_suppkey", "s_name"), rows, ["s_suppkey"])
 
 
@@ -247,10 +247,10 @@ def csv_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", sinks.csv_row(F.col("role"), F.col("turn"), F.col("conv_id") % 100 / 100, F.col("text")).alias("row"))
 
 
-@query("""SELECT conv_id, string_agg(n || '.' || chr(10) || 'Source: ' || role || ', Page ' || turn || chr(10) || 'Query: q' || turn || chr(10) || left(text, 40) || CASE WHEN turn % 2 = 0 THEN chr(10) || 'Note: even' ELSE '' END, chr(10) ORDER BY turn) AS memo
+@query("""SELECT conv_id, string_agg(n || '.' || chr(10) || 'Source: ' || role || ', Page ' || turn || chr(10) || 'Query: q' || turn || chr(10) || text || CASE WHEN turn % 2 = 0 THEN chr(10) || 'Note: even' ELSE '' END, chr(10) ORDER BY turn) AS memo
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id""")
 def memo_export(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("ord"), F.concat(F.lit("q"), "turn").alias("query"), F.col("role").alias("document_name"), F.col("turn").alias("page"), F.left("text", F.lit(40)).alias("text"), F.when(F.col("turn") % 2 == 0, "even").otherwise("").alias("note"))
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("ord"), F.concat(F.lit("q"), "turn").alias("query"), F.col("role").alias("document_name"), F.col("turn").alias("page"), "text", F.when(F.col("turn") % 2 == 0, "even").otherwise("").alias("note"))
     return sinks.memo(rows, "conv_id")
 
 
@@ -280,10 +280,12 @@ def by_type_map(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", get("click").alias("click"), get("view").alias("view"))
 
 
-@query("SELECT bool_or(o_orderstatus NOT IN ('F')) AS any, string_agg(o_orderpriority, '; ' ORDER BY o_orderkey) FILTER (o_orderstatus NOT IN ('F')) AS text FROM orders WHERE o_orderkey < 200")
+@query("""SELECT o_custkey, bool_or(o_orderstatus NOT IN ('F')) AS any,
+  coalesce(string_agg(o_orderpriority, '; ' ORDER BY o_orderkey) FILTER (o_orderstatus NOT IN ('F')), '') AS text FROM orders GROUP BY o_custkey""")
 def unfinished_status(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "READY").otherwise(F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("stage"))
-    return A.unfinished(rows)
+    status = F.when(F.col("o_orderstatus") == "F", "READY").otherwise(F.col("o_orderstatus")).alias("status")
+    rows = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("document_id"), status, F.col("o_orderpriority").alias("stage"))
+    return A.unfinished(rows, "o_custkey")
 
 
 @query("SELECT bool_and(n_nationkey <> 3) FILTER (n_name <> (SELECT n_name FROM nation WHERE n_nationkey = 3)) AS healthy FROM nation")

@@ -505,12 +505,12 @@ LEGAL = (
     "NOW, THEREFORE the parties hereby agrees; governing law and force majeure apply.",
     "The court finds that it is hereby ordered; so ordered. Plaintiff and defendant of this court.",
 )
-LEGAL_SQL = "legal(k, s) AS (VALUES " + ", ".join("({}, '{}')".format(k, s.replace("'", "''")) for k, s in enumerate(LEGAL)) + "), t AS (SELECT doc_id, source, left(text, 300) || ' ' || s || chr(10) AS x FROM documents JOIN legal ON k = doc_id % 6)"
+LEGAL_SQL = "legal(k, s) AS (VALUES " + ", ".join("({}, '{}')".format(k, s.replace("'", "''")) for k, s in enumerate(LEGAL)) + "), t AS (SELECT doc_id, source, text || ' ' || s || chr(10) AS x FROM documents JOIN legal ON k = doc_id % 6)"
 
 
 def legal(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(LEGAL)), "k long, s string")
-    return docs(spark, d, "doc_id", "source", "text", (F.col("doc_id") % 6).alias("k")).join(rows, "k").select("doc_id", "source", F.concat(F.left("text", F.lit(300)), F.lit(" "), "s", F.lit("\n")).alias("x"))
+    return docs(spark, d, "doc_id", "source", "text", (F.col("doc_id") % 6).alias("k")).join(rows, "k").select("doc_id", "source", F.concat("text", F.lit(" "), "s", F.lit("\n")).alias("x"))
 
 
 def _found_sql(patterns: tuple[str, ...], group: int, more: str = "true", form: str = "trim(m)") -> str:

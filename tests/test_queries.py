@@ -1,3 +1,6 @@
+import importlib
+import sys
+
 import pytest
 
 from attestor.plans import queries as own
@@ -18,8 +21,11 @@ def test_runs(spark, name):
     assert own.QUERIES[name](spark, SMALL.replace("0.001", "0.01")).count() > 0
 
 
-def test_entry_survives_without_the_corpus_subpackage(spark):
-    import __spark_entry__ as e
-
-    assert set(own.QUERIES) <= set(e.queries())
+def test_entry_survives_without_the_corpus_subpackage(spark, monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("attestor.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "attestor.llm", None)
+    e = importlib.import_module("__spark_entry__")
+    assert e.llm is None and set(e.queries()) == set(own.QUERIES) and set(e.oracle_sql()) == set(own.ORACLE)
     assert e.entry(spark).columns == ["item_id", "n_docs", "status"]
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
