@@ -8,6 +8,10 @@ W, NW = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 WS = r"[\u0020\u00a0\t\n\u000b\f\r\u2028\u2029\u202f\u3000]"
 SPACE = r"[\t\n\u000b\f\r\u0020\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NEITHER = r"[^A-Za-z0-9_" + SPACE[1:]
+#: Runs of either class. Visible ASCII is ruled out first by one table look-up; the class itself tries range after range.
+WS_RUN, SPACE_RUN = r"(?![!-~])" + WS + "+", r"(?![!-~])" + SPACE + "+"
+#: The members of SPACE, for functions that take characters.
+SPACE_CHARS = "\t\n\u000b\f\r\u0020\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # --- Fixed values: characters folded in text views ---
 ZERO_WIDTH = "\u00ad\u200b\u200c\u200d\ufeff"

@@ -15,9 +15,9 @@ def fold(text: Column) -> Column:
     return F.replace(text, F.lit(P.ELLIPSIS), F.lit("..."))
 
 
-def collapse(text: Column, space: str = P.WS) -> Column:
+def collapse(text: Column, run: str = P.WS_RUN) -> Column:
     """Runs of white space to one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"{space}+", " "))
+    return F.trim(F.regexp_replace(text, run, " "))
 
 
 def keep_view(text: Column) -> Column:
@@ -31,13 +31,13 @@ def join_view(keep: Column) -> Column:
 
 
 def loose_key(keep: Column) -> Column:
-    return F.regexp_replace(keep, f"{P.WS}+", "")
+    return F.regexp_replace(keep, P.WS_RUN, "")
 
 
 def value_key(text: Column) -> Column:
     """A value as compared in edits."""
     spaced = F.translate(text, "\u00a0\u200b\u200e\u200f\ufeff", "     ")
-    return collapse(F.translate(spaced, "\u2018\u2019\u201c\u201d\u2013\u2014", "''\"\"--"), P.SPACE)
+    return collapse(F.translate(spaced, "\u2018\u2019\u201c\u201d\u2013\u2014", "''\"\"--"), P.SPACE_RUN)
 
 
 def strip_commas(text: Column) -> Column:
@@ -50,17 +50,17 @@ def exact_key(text: Column) -> Column:
 
 
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{P.SPACE}+|{P.SPACE}+$", "")
+    return F.trim(text, F.lit(P.SPACE_CHARS))
 
 
 def cosmetic_key(text: Column) -> Column:
     """Equal where a change is cosmetic only. The first word always goes, with or without a label before it."""
     bare = F.regexp_replace(F.lower(text), rf"^(?:section|article|clause)?{P.SPACE}*[\d.a-z\-:()]+{P.SPACE}*", "")
-    return collapse(F.regexp_replace(bare, P.NEITHER, ""), P.SPACE)
+    return collapse(F.regexp_replace(bare, P.NEITHER, ""), P.SPACE_RUN)
 
 
 def title_key(text: Column) -> Column:
-    return collapse(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), P.NEITHER, ""), P.SPACE)
+    return collapse(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), P.NEITHER, ""), P.SPACE_RUN)
 
 
 def slug(text: Column, default: str = "org") -> Column:

@@ -42,7 +42,7 @@ def upload_error_py(name: Column, mime: Column, size: Column, limit: int = P.UPL
 
 def visible(text: Column) -> Column:
     """Number of characters other than white space."""
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), f"{P.SPACE}+", ""))
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), P.SPACE_RUN, ""))
 
 
 def scan_check(pages: DataFrame, key: str = "doc_id") -> DataFrame:
