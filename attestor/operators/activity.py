@@ -142,3 +142,24 @@ def role_at_least(role: Column, least: str) -> Column:
 def containing(rows: DataFrame, column: str, part: str) -> DataFrame:
     """Rows whose column holds a text, whatever its case."""
     return rows.where(F.contains(F.lower(F.col(column)), F.lit(part.lower())))
+
+
+def shares_of_greatest(counts: DataFrame, key: str) -> DataFrame:
+    """(key, n, share): counts against the greatest of them, as bars of a chart. The greatest is one row, so it goes to all tasks."""
+    most = counts.agg(F.max("n").alias("_most"))
+    return counts.join(F.broadcast(most)).select(key, "n", (F.col("n") / F.col("_most")).alias("share"))
+
+
+def filled_values(rows: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column that are neither null nor blank."""
+    return rows.where(F.trim(column) != "").select(column).distinct()
+
+
+def same_any_case(a: Column, b: Column) -> Column:
+    """Whether two whole texts are equal but for case; no character of either is a pattern."""
+    return F.lower(a) == F.lower(b)
+
+
+def owned_by_id(rows: DataFrame, ids: DataFrame, key: str, owner: Column) -> DataFrame:
+    """Rows whose key is among ids (key) and that belong to the owner asked for."""
+    return rows.where(owner).join(ids.select(key), key, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as T
 from ..operators import activity as A
-from ..operators import ingest, redline, relations
+from ..operators import changes, ingest, redline, relations
 from ..sources import files, sinks
 
 QUERIES, ORACLE = {}, {}
@@ -337,3 +337,67 @@ def blob_range(spark: SparkSession, d: str) -> DataFrame:
 def edit_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("label"), (F.col("o_orderstatus") == "F").alias("verified"))
     return redline.edit_counts(rows, "label")
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, count(*) / max(count(*)) OVER () AS share FROM events GROUP BY event_type")
+def chart_scale(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return A.shares_of_greatest(counts, "event_type")
+
+
+@query("SELECT DISTINCT matter FROM (SELECT CASE WHEN o_custkey % 3 = 0 THEN NULL WHEN o_custkey % 3 = 1 THEN ' ' ELSE 'matter ' || o_custkey END AS matter FROM orders) WHERE trim(matter) <> ''")
+def distinct_matters(spark: SparkSession, d: str) -> DataFrame:
+    matter = F.when(F.col("o_custkey") % 3 == 1, " ").when(F.col("o_custkey") % 3 == 2, F.concat(F.lit("matter "), "o_custkey"))
+    return A.filled_values(table(spark, d, "orders").select(matter.alias("matter")), "matter")
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_name) = lower(CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name || '.' END)")
+def equal_any_case(spark: SparkSession, d: str) -> DataFrame:
+    """Names held to themselves in capitals, or with one more character that a pattern would let pass."""
+    asked = F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.concat("c_name", F.lit(".")))
+    return table(spark, d, "customer").where(A.same_any_case(F.col("c_name"), asked)).select("c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def bookmarks_by_id(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return A.owned_by_id(table(spark, d, "orders"), ids, "o_custkey", F.col("o_orderstatus") == "F").select("o_orderkey")
+
+
+@query("""SELECT pair_id, order_idx, significance, category FROM (SELECT o_custkey AS pair_id, o_orderkey AS order_idx, 'payment' AS category, CASE o_orderstatus WHEN 'F' THEN 'MODIFIED' ELSE 'ADDED' END AS type,
+  ['HIGH', 'MEDIUM', 'LOW', 'COSMETIC'][o_orderkey % 4 + 1] AS significance FROM orders) WHERE type = 'MODIFIED' AND significance <> 'LOW'
+ORDER BY list_position(['HIGH', 'MEDIUM', 'COSMETIC'], significance), pair_id, order_idx LIMIT 50""")
+def changes_by_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of changes, from the most significant on."""
+    levels = F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW", "COSMETIC")))
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("pair_id"), F.col("o_orderkey").alias("order_idx"), F.lit("payment").alias("category"), F.when(F.col("o_orderstatus") == "F", "MODIFIED").otherwise("ADDED").alias("type"),
+        F.element_at(levels, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("significance"),
+    )
+    return changes.filtered(rows, ["high", "medium ", "cosmetic"], ["modified"], ["Payment"]).limit(50).select("pair_id", "order_idx", "significance", "category")
+
+
+READS_SQL = "reads AS (SELECT o_custkey, o_orderkey, 'order ' || o_orderkey AS name, o_orderkey % 3 AS read, o_orderkey % 3 + CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE o_orderkey % 2 END AS total FROM orders)"
+
+
+def reads(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents of which some sections were read."""
+    read = F.col("o_orderkey") % 3
+    total = read + F.when(F.col("o_custkey") % 2 == 0, 0).otherwise(F.col("o_orderkey") % 2)
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("order "), "o_orderkey").alias("name"), read.alias("read"), total.alias("total"))
+    return rows.withColumn("complete", F.col("read") == F.col("total"))
+
+
+@query(f"""WITH {READS_SQL} SELECT o_orderkey, CASE WHEN read = total THEN 'Complete: all ' || total || CASE total WHEN 1 THEN ' section' ELSE ' sections' END || ' read'
+  ELSE 'Partial: ' || read || ' of ' || total || CASE total WHEN 1 THEN ' section' ELSE ' sections' END || ' read' || CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '; 1 page had no selectable text' ELSE '; 2 pages had no selectable text' END END AS text FROM reads""")
+def coverage_text(spark: SparkSession, d: str) -> DataFrame:
+    text = A.coverage_text(F.col("read"), F.col("total"), F.col("complete"), F.col("o_custkey") % 3)
+    return reads(spark, d).select("o_orderkey", text.alias("text"))
+
+
+@query(f"""WITH {READS_SQL} SELECT o_custkey, CASE WHEN bool_and(read = total) THEN 'I couldn''t find a passage that answers this in any of the documents ('
+    || string_agg(name || ' (' || total || CASE total WHEN 1 THEN ' section)' ELSE ' sections)' END, ', ' ORDER BY o_orderkey) || ' all read).'
+  ELSE 'I couldn''t find relevant passages in the sections I could read across the documents (' || string_agg(name || ': ' || read || '/' || total || ' sections read', '; ' ORDER BY o_orderkey) || '). Absence is not confirmed.' END AS message
+FROM reads GROUP BY o_custkey""")
+def not_found_in_all(spark: SparkSession, d: str) -> DataFrame:
+    return A.not_found_in_all(reads(spark, d).withColumnRenamed("o_orderkey", "ord"), "o_custkey")
