@@ -377,7 +377,7 @@ def bigram_dice(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of each turn and the next."""
     t = spark.read.parquet(f"{d}/conversations.parquet")
     pairs = t.select("conv_id", "turn", F.col("text").alias("a_text")).join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b_text")), ["conv_id", "turn"])
-    return A.dice(pairs, ["conv_id", "turn"]).select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
+    return A.dice(pairs).select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
 
 
 #: Sentences put behind documents, whose own words name no amounts or obligations: old, new, heading.
