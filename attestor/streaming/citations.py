@@ -34,17 +34,31 @@ def filtered_text(text: Column, verified: Column) -> Column:
     return F.array_join(F.filter(pieces, lambda p: ~bad(p)), "")
 
 
-def answers(tokens: DataFrame) -> DataFrame:
-    """Filtered pieces (message_id, seq, text) of streamed tokens (message_id, seq, token, verified array, last). The text that waits is the state of a message."""
+def answers(tokens: DataFrame, idle: int | None = None) -> DataFrame:
+    """Filtered pieces (message_id, seq, text) of streamed tokens (message_id, seq, token, verified array, last).
+
+    The text that waits is the state of a message; it goes with the last token. Give `idle` (seconds) to streams that never end,
+    so that it also goes once no token came for so long: the answer was stopped, what was passed on stays, and its unclosed
+    bracket is never shown. Streams with the trigger availableNow have none: a timeout keeps them running.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else ""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, ended = state.get[0] if state.exists else "", False
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
         for seq, token, verified, last in zip(rows.seq, rows.token, rows.verified, rows["last"], strict=True):
             text, held = passed(held + (token or ""), set(verified) if verified is not None else set(), bool(last))
             out.append((key[0], seq, text))
-        state.update((held,))
+            ended = bool(last)
+        if not ended:
+            state.update((held,))
+            if idle:
+                state.setTimeoutDuration(idle * 1000)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["message_id", "seq", "text"])
 
-    return tokens.groupBy("message_id").applyInPandasWithState(run, "message_id long, seq long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+    return tokens.groupBy("message_id").applyInPandasWithState(run, "message_id long, seq long, text string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)

@@ -79,6 +79,7 @@ def test_streamed_answers_equal_whole_ones(spark, tmp_path):
     for r in spark.table("said").orderBy("seq").collect():
         said[r.message_id] = said.get(r.message_id, "") + r.text
     assert said == {1: "a [Q1] b  c ", 2: "x  y"}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
 
 
 def test_event_streams(spark, tmp_path):
