@@ -4,5 +4,7 @@ from __future__ import annotations
 
 from . import table_queries, text_queries
 
+if twice := set(text_queries.QUERIES) & set(table_queries.QUERIES):
+    raise ValueError(f"queries of two modules share names: {sorted(twice)}")
 QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES}
 ORACLE = {**text_queries.ORACLE, **table_queries.ORACLE}

@@ -16,6 +16,8 @@ QUERIES, ORACLE = {}, {}
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = sql
@@ -380,7 +382,7 @@ def changes_by_rank(spark: SparkSession, d: str) -> DataFrame:
 READS_SQL = "reads AS (SELECT o_custkey, o_orderkey, 'order ' || o_orderkey AS name, o_orderkey % 3 AS read, o_orderkey % 3 + CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE o_orderkey % 2 END AS total FROM orders)"
 
 
-def reads(spark: SparkSession, d: str) -> DataFrame:
+def partly_read(spark: SparkSession, d: str) -> DataFrame:
     """Orders as documents of which some sections were read."""
     read = F.col("o_orderkey") % 3
     total = read + F.when(F.col("o_custkey") % 2 == 0, 0).otherwise(F.col("o_orderkey") % 2)
@@ -392,7 +394,7 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
   ELSE 'Partial: ' || read || ' of ' || total || CASE total WHEN 1 THEN ' section' ELSE ' sections' END || ' read' || CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '; 1 page had no selectable text' ELSE '; 2 pages had no selectable text' END END AS text FROM reads""")
 def coverage_text(spark: SparkSession, d: str) -> DataFrame:
     text = A.coverage_text(F.col("read"), F.col("total"), F.col("complete"), F.col("o_custkey") % 3)
-    return reads(spark, d).select("o_orderkey", text.alias("text"))
+    return partly_read(spark, d).select("o_orderkey", text.alias("text"))
 
 
 @query(f"""WITH {READS_SQL} SELECT o_custkey, CASE WHEN bool_and(read = total) THEN 'I couldn''t find a passage that answers this in any of the documents ('
@@ -400,4 +402,4 @@ def coverage_text(spark: SparkSession, d: str) -> DataFrame:
   ELSE 'I couldn''t find relevant passages in the sections I could read across the documents (' || string_agg(name || ': ' || read || '/' || total || ' sections read', '; ' ORDER BY o_orderkey) || '). Absence is not confirmed.' END AS message
 FROM reads GROUP BY o_custkey""")
 def not_found_in_all(spark: SparkSession, d: str) -> DataFrame:
-    return A.not_found_in_all(reads(spark, d).withColumnRenamed("o_orderkey", "ord"), "o_custkey")
+    return A.not_found_in_all(partly_read(spark, d).withColumnRenamed("o_orderkey", "ord"), "o_custkey")

@@ -22,6 +22,8 @@ QUERIES, ORACLE = {}, {}
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = sql
