@@ -13,12 +13,16 @@ from .bpe_count import count_tokens
 from .chat_format import format_conversations, learned_text, text_part, turns_of
 from .cover_tree import near_vectors
 from .decontaminate import find_leaks
+from .fim import fill_in_middle, restored
 from .line_dedup import dedup_lines
 from .line_quality import line_quality
 from .ngram_join import similar_documents
 from .pii_spans import find_personal_data
+from .shared import Workspace
 from .source_mix import mix_sources
 from .url_lists import host_of, judge_captures
+from .vector_codes import compress, digest
+from .warc import archive_captures
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +91,25 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table has no fetch time: all captures have the same date."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    captures = pages.select(F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")).alias("record_id"), F.col("page_id").alias("rank"), F.col("url").alias("uri"), F.lit("2024-01-01T00:00:00Z").alias("date"), F.encode("html", "UTF-8").alias("payload"))
+    read = archive_captures(captures, f"{Workspace(spark, 'op11').root}/archives")
+    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return read.select(page("record_id").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -98,9 +121,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_token_counts": op9_token_counts,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_warc_revisits": op11_warc_revisits,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
+
+def _rounds_sql(rounds: int) -> str:
+    """Codebooks of product codes, round after round. Squared distances are products of whole numbers below 2**53, exact in doubles."""
+    out = ""
+    for k in range(rounds + 1):
+        out += f""",
+near{k} AS MATERIALIZED (SELECT vec_id, part, min((d, entry)) AS best FROM (SELECT p.vec_id, p.part, c.entry, list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, c.v) + list_inner_product(c.v, c.v) AS d FROM p JOIN book{k} c USING (part)) GROUP BY ALL)"""
+        if k < rounds:
+            out += f""",
+means{k} AS (SELECT part, best[2] AS entry, place, floor(sum(x) / count(*)) AS x FROM (SELECT part, best, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM near{k} JOIN p USING (vec_id, part)) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(any_value(m.v), any_value(c.v)) AS v FROM book{k} c LEFT JOIN (SELECT part, entry, list(x ORDER BY place) AS v FROM means{k} GROUP BY ALL) m ON m.part = c.part AND m.entry = c.entry GROUP BY c.part, c.entry)"""
+    return out
+
+
 ORACLE: dict[str, str] = {
     "op5_ngram_jaccard_join": r"""
 WITH RECURSIVE words AS (
@@ -151,5 +191,33 @@ WITH RECURSIVE v AS (
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
 reach(id, other) AS (SELECT vec_id, vec_id FROM embeddings WHERE vec_id IS NOT NULL UNION SELECT id, b FROM reach JOIN links ON a = other)
 SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id)::BIGINT AS n_links, min(other)::BIGINT AS component_id, id = min(other) AS kept FROM reach GROUP BY id
+""",
+    "op11_warc_revisits": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 AND page_id IS NOT NULL THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f
+""",
+    "op12_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT *, len(tokens) AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k::INT, 8))::BIGINT) AS draw FROM t),
+c AS (SELECT *, least(draw[1] % (n + 1), draw[2] % (n + 1)) AS a, greatest(draw[1] % (n + 1), draw[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR draw[3] % 100 >= 50 THEN 'plain' WHEN draw[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+s AS (SELECT *, coalesce(array_to_string(tokens[1:a], ''), '') AS prefix, coalesce(array_to_string(tokens[a + 1:b], ''), '') AS middle, coalesce(array_to_string(tokens[b + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM s
+""",
+    "op13_vector_codes": f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS v FROM v, range(4) r(part)),
+book0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p QUALIFY entry < 256){_rounds_sql(4)},
+codes AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM near4 GROUP BY vec_id),
+whole AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, place)) AS digest FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM book4))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT digest FROM whole) AS codebooks_sha256 FROM codes JOIN v USING (vec_id)
 """,
 }

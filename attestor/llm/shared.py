@@ -78,6 +78,19 @@ def in_bitmap(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
 
+def with_totals(rows: DataFrame, keys: list[str], spread: str, salts: int = 64, **totals) -> DataFrame:
+    """rows with totals over all rows of equal keys, as name=(column, function); keys are not null, functions may be applied twice (min, max, sum).
+
+    No task meets all rows of one key: they are added up in as many shares as the values of the column spread fall into (at most
+    salts), the shares' totals are joined back to the shares, and these to the rows. rows should be a written table, as it is read twice.
+    """
+    shared = rows.withColumn("_share", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    partly = shared.groupBy(*keys, "_share").agg(*(fold(column).alias(name) for name, (column, fold) in totals.items()))
+    whole = partly.groupBy(*keys).agg(*(fold(name).alias(name) for name, (_, fold) in totals.items()))
+    back = partly.select(*keys, "_share").join(whole, keys)
+    return shared.join(back, [*keys, "_share"]).drop("_share")
+
+
 def _open_nodes(edges: DataFrame) -> int:
     """How many nodes of edges (a, b) keep them from being stars: a node with two larger ends, or one that is both ends."""
     ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
