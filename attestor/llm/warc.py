@@ -57,22 +57,26 @@ def record(row: dict) -> bytes:
         value = row[column] or (NO_DATE if column == "date" else None)
         if value is not None:
             value = header_value(value)
-            lines.append(f"{name}: " + (f"<{value}>" if column in ("record_id", "refers_to") else f"sha256:{value}" if column == "digest" else value))
+            lines.append(f"{name}: " + (f"<{value}>" if column in ("record_id", "refers_to") else f"sha256:{value}" if column == "digest" and ":" not in value else value))
     if row["type"] == "revisit":
         lines.append(f"WARC-Profile: {PROFILE}")
     lines += [f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def _hex(digest: str | None) -> str | None:
-    """The digest in bare lower-case hex, from base 32 or hex and with or without the algorithm's name."""
+def plain_digest(digest: str | None) -> str | None:
+    """A digest as the column has it: bare lower-case hex for SHA-256, algorithm:hex for others; from base 32 or hex."""
     if not digest:
         return None
     algorithm, _, value = digest.rpartition(":")
-    size = {"sha1": 20, "md5": 16}.get(algorithm.lower(), 32)
-    if len(value) == 2 * size and re.fullmatch("[0-9A-Fa-f]+", value):
-        return value.lower()
-    return base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+    algorithm = algorithm.lower() or "sha256"
+    size = {"sha1": 20, "md5": 16}.get(algorithm, 32)
+    if not (len(value) == 2 * size and re.fullmatch("[0-9A-Fa-f]+", value)):
+        try:
+            value = base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+        except ValueError:
+            return digest  # of no known form: kept as it is
+    return value.lower() if algorithm == "sha256" else f"{algorithm}:{value.lower()}"
 
 
 def records(stream: io.BufferedIOBase, name: str = "") -> Iterator[dict]:
@@ -95,7 +99,7 @@ def records(stream: io.BufferedIOBase, name: str = "") -> Iterator[dict]:
         if head.get("warc-type") not in ("response", "resource", "revisit"):
             continue
         row = {column: head.get(key.lower()) for column, key in NAMES.items()}
-        row |= {k: (row[k] or "").strip("<>") or None for k in ("record_id", "refers_to")} | {"digest": _hex(row["digest"])}
+        row |= {k: (row[k] or "").strip("<>") or None for k in ("record_id", "refers_to")} | {"digest": plain_digest(row["digest"])}
         http, split, payload = block.partition(b"\r\n\r\n") if head.get("content-type", "").startswith("application/http") else (b"", b"", block)
         row["http"], row["payload"] = http.decode("utf-8", "replace") or None, None if row["type"] == "revisit" else payload
         yield row
