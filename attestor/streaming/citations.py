@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+from .jobs import with_large_state
 
 MARK = re.compile(r"\[[^\]]*\]")
 
@@ -62,3 +65,62 @@ def answers(tokens: DataFrame, idle: int | None = None) -> DataFrame:
         yield pd.DataFrame(out, columns=["message_id", "seq", "text"])
 
     return tokens.groupBy("message_id").applyInPandasWithState(run, "message_id long, seq long, text string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+
+
+MESSAGES = "message_id long, seq long, text string, status string, content string"
+
+
+class Message(StatefulProcessor):
+    """An answer in the making: what waits (an open bracket), what was shown, and whether it has ended."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.made = handle, handle.getValueState("made", "held string, content string, seq long, ended boolean, until long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held, content, seq, ended, until = self.made.get() if self.made.exists() else ("", "", -1, False, 0)
+        found, out = pd.concat(list(rows)).sort_values("seq", kind="stable"), []
+        for n, token, verified, last, stop in zip(found["seq"], found["token"], found["verified"], found["last"], found["stop"], strict=True):
+            if ended:
+                break  # nothing of a stopped answer is read any more
+            seq = int(n)
+            if not stop:
+                text, held = passed(held + (token or ""), set(verified) if verified is not None else set(), bool(last))
+                content += text
+                out.append((key[0], seq, text, "STREAMING", None))
+            if stop or last:
+                ended = True
+                out.append((key[0], seq, None, "STOPPED" if stop else "COMPLETE", content))
+        if until:
+            self.handle.deleteTimer(until)
+        until = int(found["micros"].max()) // 1000 + self.idle_ms
+        self.handle.registerTimer(until)
+        self.made.update(("" if ended else held, "" if ended else content, seq, ended, until))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in MESSAGES.split(", ")])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, content, seq, ended, until = self.made.get()
+        if ended:
+            self.made.clear()
+            return
+        # Tokens that come late still find a stopped answer, for once more the idle time.
+        self.handle.registerTimer(until + self.idle_ms)
+        self.made.update(("", "", seq, True, until + self.idle_ms))
+        yield pd.DataFrame([(key[0], seq, None, "STOPPED", content)], columns=[f.split()[0] for f in MESSAGES.split(", ")])
+
+
+def messages(tokens: DataFrame, idle_seconds: int = 60, late: str = "0 seconds") -> DataFrame:
+    """Answers as they are made, from streamed tokens (message_id, seq, at, token, verified array, last, stop).
+
+    Each token gives a row (message_id, seq, text, STREAMING, null) with what of it can be shown, each answer one row more with all
+    that was shown as content: COMPLETE with its last token, STOPPED where a row says stop (its own token is not read) or where the
+    watermark has passed its newest token by the idle time. What was shown stays; an open bracket at the end never was.
+    Tokens after the end are dropped. Nulls: a token counts as empty, last and stop as false; rows without an id or time are left out.
+    """
+    with_large_state(tokens.sparkSession)
+    timed = tokens.where("message_id is not null and at is not null").withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+    no = F.lit(False)
+    rows = timed.select("message_id", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "at", F.unix_micros("at").alias("micros"), "token", "verified", F.coalesce("last", no).alias("last"), F.coalesce("stop", no).alias("stop"))
+    return rows.groupBy("message_id").transformWithStateInPandas(Message(idle_seconds * 1000), MESSAGES, "append", "EventTime")

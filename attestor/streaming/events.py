@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+from .jobs import with_large_state
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -35,6 +39,44 @@ def newest_only(stream: DataFrame, keep: str = "90 days", time: str = "ts") -> D
     return timed.dropDuplicatesWithinWatermark(["event_id"])
 
 
+class Kept(StatefulProcessor):
+    """One event: said to be kept when it comes, and to have ended when the watermark passes its time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.since = handle, handle.getValueState("since", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        at = min(int(x) for frame in rows for x in frame["micros"])
+        if self.since.exists() or at // 1000 < timerValues.getCurrentWatermarkInMs():
+            return
+        self.since.update((at,))
+        self.handle.registerTimer(at // 1000 + 1)  # ends at the first watermark above the event's time
+        yield self._said(key[0], at, "kept")
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.since.exists():
+            (at,) = self.since.get()
+            self.since.clear()
+            yield self._said(key[0], at, "ended")
+
+    @staticmethod
+    def _said(key: int, at: int, change: str) -> pd.DataFrame:
+        return pd.DataFrame({"event_id": [key], "created_at": pd.to_datetime([at], unit="us"), "change": [change]})
+
+
+def retention_changes(stream: DataFrame, days: int, key: str = "event_id", time: str = "ts") -> DataFrame:
+    """(event_id, created_at, change) of a stream of events: "kept" when one comes, "ended" once it is older than the newest by more than `days`.
+
+    The watermark runs that many days behind the newest event, so what it passes has ended: an event's state is its time and a timer,
+    and goes with them. Events that are too old when they come are never kept; repeats of a kept id do nothing. What is kept
+    and has not ended after the last batch are the rows that activity.retained() leaves of all events so far.
+    """
+    with_large_state(stream.sparkSession)
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, f"{days} days")
+    timed = timed.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).cast("long").alias("event_id"), time, F.unix_micros(time).alias("micros"))
+    return timed.groupBy("event_id").transformWithStateInPandas(Kept(), "event_id long, created_at timestamp, change string", "append", "EventTime")
+
+
 def work_queue(stream: DataFrame, work: Callable[[DataFrame], None], checkpoint: str, key: str = "event_id") -> StreamingQuery:
     """Hands each batch's new jobs to `work`, each id once within a batch; after a restart the unfinished batch is handed over again."""
     return stream.writeStream.foreachBatch(lambda rows, _: work(rows.dropDuplicates([key]))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
