@@ -80,7 +80,7 @@ def assemble_page(items: list[dict], height: float) -> tuple[str, list[tuple]]:
     for it in items:
         if not it["str"]:
             continue
-        t = [*(it["transform"] or []), *[0.0] * 6][:6]
+        t = [*(it["transform"] if it["transform"] is not None else ()), *[0.0] * 6][:6]
         tall = it["height"] or abs(t[3] or 1) or 10
         wide = it["width"] or len(it["str"]) * 6 * abs(t[0] or 1)
         if before is not None:
@@ -160,3 +160,30 @@ def status_of(rows: DataFrame) -> DataFrame:
     error = F.coalesce("upload_error", F.when(F.col("scanned"), "SCANNED_PDF"))
     return rows.withColumn("error_code", error).withColumn("status", F.when(error.isNotNull(), "FAILED").when(F.col("char_count").isNull(), "EXTRACTING").otherwise("READY")).withColumn(
         "stage", F.when(error.isNotNull(), "Failed").when(F.col("char_count").isNull(), "Extracting text").otherwise("Ready"))
+
+
+def ingested(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, pages) of files as the source "documents" reads them.
+
+    A Word or text file is its text: one page long, without page rows, ready at once. Page items become page texts with their
+    offsets in the canonical text; a document of them without a text layer fails. A file that can't be read, or of which a page
+    can't, fails as well; no failure is another row's. documents: doc_id, path, name, kind, text, page_count, char_count,
+    token_estimate, status, stage, error_code, error_message. pages: schemas.PAGE and text. doc_id is a hash of the path.
+    """
+    rows = files.withColumn("doc_id", F.xxhash64("path"))
+    failed = rows.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("message"))
+    own = rows.groupBy("doc_id").agg(F.any_value("path").alias("path"), F.any_value("name").alias("name"), F.any_value("kind").alias("kind"), F.max("text").alias("whole"))
+    pages = page_offsets(assemble_pages(rows.where("page_no is not null and error is null").select(*(f.split()[0] for f in schemas.RAW_PAGE.split(", ", 4)))))
+    made = canonical(pages).join(scan_check(pages).select("doc_id", "scanned"), "doc_id", "left")
+    found = own.join(failed, "doc_id", "left").join(made, "doc_id", "left")
+    text = F.coalesce("whole", "text")
+    code = F.when(F.col("message").isNotNull(), F.when(F.col("message").startswith("Unsupported"), "UNSUPPORTED_TYPE").otherwise("FILE_CORRUPT")).when(F.col("scanned"), "NO_TEXT_LAYER")
+    ready = code.isNull()
+    chars = F.when(ready, F.length(text).cast("long"))
+    documents = found.select(
+        "doc_id", "path", "name", "kind", F.when(ready, text).alias("text"), F.when(ready, F.coalesce("page_count", F.lit(1))).cast("int").alias("page_count"), chars.alias("char_count"), T.tokens(chars).alias("token_estimate"),
+        F.when(ready, "READY").otherwise("FAILED").alias("status"), F.when(ready, "Ready").otherwise("Can't read this file").alias("stage"), code.alias("error_code"),
+        F.when(code == "NO_TEXT_LAYER", "no selectable text; OCR is not supported").otherwise(F.col("message")).alias("error_message"),
+    )
+    kept = pages.join(documents.where("status = 'READY'").select("doc_id"), "doc_id", "left_semi")
+    return documents, kept.select(*(f.split()[0] for f in schemas.PAGE.split(", ", 6)), "text")
