@@ -12,7 +12,7 @@ def plain(x):
     if x is None or isinstance(x, float) and x != x:
         return None
     if isinstance(x, float):
-        return repr(round(x, 9))
+        return str(int(x)) if x.is_integer() else repr(round(x, 9))  # pandas turns whole numbers with nulls among them into floats
     if isinstance(x, (list, tuple)):
         return [plain(y) for y in x]
     return str(x)
