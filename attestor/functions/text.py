@@ -26,12 +26,16 @@ def keep_view(text: Column) -> Column:
 
 
 def join_view(keep: Column) -> Column:
-    """Words broken at a line end rejoined: "- " goes between a letter and a lower-case letter."""
-    return F.regexp_replace(keep, r"(?<=\p{L})- (?=\p{Ll})", "")
+    """Words broken at a line end rejoined: "- " goes between a letter and a lower-case letter.
+
+    The pattern begins with what it takes out and looks back from there, so most characters fail at one comparison.
+    """
+    return F.regexp_replace(keep, r"- (?<=\p{L}- )(?=\p{Ll})", "")
 
 
 def loose_key(keep: Column) -> Column:
-    return F.regexp_replace(keep, P.WS_RUN, "")
+    """The loose view of a keep view, in which all white space is single spaces."""
+    return F.replace(keep, F.lit(" "), F.lit(""))
 
 
 def value_key(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from .vector_index import VectorIndex
 
 ENTITY = rf"page\s+\d+|section\s+[\d.]+|article\s+[\d.]+|{P.W}\d+(?:,\d+)*(?:\.\d+)?(?:\s*(?:days?|months?|years?|percent|%|aed|usd|eur|gbp))?{P.NW}"
 SPLIT = r"\s+(?:and|or|with|about|regarding|in relation to|concerning)\s+"
@@ -85,25 +86,9 @@ def widen_selection(selected: DataFrame, chunks: DataFrame, terms: Column, keys:
     return selected.select(*keys, "idx").withColumn("expanded", F.lit(False)).unionByName(found.select(*keys, "idx").withColumn("expanded", F.lit(True)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """For each query (query_id, query) its k nearest vectors (vec_id, embedding) by cosine, score = (1 + cosine) / 2 to four places.
-
-    Queries are a stated set, small beside the vectors; each partition keeps its best k of every query before any row is shuffled.
-    """
-    scored = vectors.crossJoin(queries).select("query_id", "vec_id", F.greatest(F.lit(0.0), F.bround((1 + cosine(F.col("embedding"), F.col("query"))) / 2, 4)).alias("score"))
-    # Ranked twice: among the rows of one of 64 parts first, so no task sees all vectors of a query.
-    by = [F.col("score").desc(), F.col("vec_id")]
-    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy(*by)
-    best = scored.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k).drop("r")
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("place") <= k)
+    """For each query (query_id, query) its k nearest vectors (vec_id, embedding) by cosine, score = (1 + cosine) / 2 to four places: see vector_index."""
+    return VectorIndex(vectors).search(queries, k)
 
 
 def union_of_queries(found: DataFrame, k: int, text: str = "text") -> DataFrame:
