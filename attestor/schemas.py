@@ -8,7 +8,7 @@ RAW_PAGE = f"doc_id long, page_no int, width double, height double, items array<
 PAGE_ITEM = "struct<start:int,len:int,x:double,y:double,w:double,h:double>"
 PAGE = f"doc_id long, page_no int, char_start int, char_end int, width double, height double, items array<{PAGE_ITEM}>"
 CHUNK = "doc_id long, idx int, total int, char_start int, char_end int, text string"
-VIEW = "struct<s:string,map:array<int>>"
+VIEW = "struct<s:string,at:array<int>,source:array<int>>"
 QUOTE = "quote_id long, doc_id long, text string, chunk_start int, chunk_end int"
 CLAUSE = "doc_id long, ord int, number string, heading string, text string, start int, end int, confidence double, uncertain boolean"
 CHANGE = "pair_id long, order_idx int, type string, similarity double, a_ord int, b_ord int"
