@@ -1,22 +1,29 @@
-"""Results that several later steps read, computed once."""
+"""Results that several later steps read, computed once, and where they lie."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A folder of this machine is used only where none is named, as in tests."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="attestor-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def once(rows: DataFrame) -> DataFrame:
-    """rows, written to the checkpoint folder that the cluster names in spark.checkpoint.dir and read from there by all that follows.
+    """rows, written to the shared folder and read from there by all that follows.
 
-    Without it the plan of an operator whose steps each use the ones before would repeat them many times over. A folder of
-    this machine is used only where none is named, as in tests.
+    Without it the plan of an operator whose steps each use the ones before would repeat them many times over.
     """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="attestor-"))
+    if rows.sparkSession.sparkContext.getCheckpointDir() is None:
+        rows.sparkSession.sparkContext.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import table_queries, text_queries
+from . import stream_queries, table_queries, text_queries
 
-if twice := set(text_queries.QUERIES) & set(table_queries.QUERIES):
-    raise ValueError(f"queries of two modules share names: {sorted(twice)}")
-QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES}
-ORACLE = {**text_queries.ORACLE, **table_queries.ORACLE}
+QUERIES, ORACLE = {}, {}
+for module in (text_queries, table_queries, stream_queries):
+    if twice := set(QUERIES) & set(module.QUERIES):
+        raise ValueError(f"queries of two modules share names: {sorted(twice)}")
+    QUERIES |= module.QUERIES
+    ORACLE |= module.ORACLE

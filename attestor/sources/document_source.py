@@ -32,7 +32,7 @@ ARROW = {
     "path": pa.string(), "name": pa.string(), "kind": pa.string(), "bytes": pa.int64(), "modified": pa.timestamp("us", "UTC"), "page_no": pa.int32(), "text": pa.string(),
     "width": pa.float64(), "height": pa.float64(), "items": pa.list_(ITEM), "error": pa.string(),
 }
-TEXTS, WORD, PAGES = ("txt", "md"), ("docx",), ("jsonl", "ndjson")
+TEXTS, WORD, PAGES = ("txt", "md"), ("docx",), ("jsonl", "ndjson", "json")
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:

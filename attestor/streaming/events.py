@@ -39,42 +39,59 @@ def newest_only(stream: DataFrame, keep: str = "90 days", time: str = "ts") -> D
     return timed.dropDuplicatesWithinWatermark(["event_id"])
 
 
+#: Events whose times fall into one span share a key and a timer, dealt to so many shares by their ids.
+SPAN_SECONDS, SHARES = 3600, 16
+
+
 class Kept(StatefulProcessor):
-    """One event: said to be kept when it comes, and to have ended when the watermark passes its time."""
+    """Events of one span: said to be kept when they come, and to have ended when the watermark passes their time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.since = handle, handle.getValueState("since", "at long")
+        self.handle, self.held = handle, handle.getListState("held", "event_id long, micros long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        at = min(int(x) for frame in rows for x in frame["micros"])
-        if self.since.exists() or at // 1000 < timerValues.getCurrentWatermarkInMs():
-            return
-        self.since.update((at,))
-        self.handle.registerTimer(at // 1000 + 1)  # ends at the first watermark above the event's time
-        yield self._said(key[0], at, "kept")
+        found = pd.concat(list(rows))[["event_id", "micros"]].drop_duplicates()
+        found = found[found.micros // 1000 >= timerValues.getCurrentWatermarkInMs()]
+        held = set(self.held.get()) if self.held.exists() else set()
+        new = [r for r in found.itertuples(index=False, name=None) if r not in held]
+        if new:
+            self.held.appendList(new)
+            if not held:
+                self._wait(new)
+        yield self._said(new, "kept")
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.since.exists():
-            (at,) = self.since.get()
-            self.since.clear()
-            yield self._said(key[0], at, "ended")
+        held, now = list(self.held.get()), timerValues.getCurrentWatermarkInMs()
+        left = [r for r in held if r[1] // 1000 >= now]
+        if left:
+            self.held.put(left)
+            self._wait(left)
+        else:
+            self.held.clear()
+        yield self._said([r for r in held if r[1] // 1000 < now], "ended")
+
+    def _wait(self, held: list[tuple[int, int]]) -> None:
+        """Until the first watermark above the oldest event's time. Later events of the span may come before it: then all older ones end with them."""
+        self.handle.registerTimer(min(m for _, m in held) // 1000 + 1)
 
     @staticmethod
-    def _said(key: int, at: int, change: str) -> pd.DataFrame:
-        return pd.DataFrame({"event_id": [key], "created_at": pd.to_datetime([at], unit="us"), "change": [change]})
+    def _said(rows: list[tuple[int, int]], change: str) -> pd.DataFrame:
+        return pd.DataFrame({"event_id": [r[0] for r in rows], "created_at": pd.to_datetime([r[1] for r in rows], unit="us"), "change": change})
 
 
 def retention_changes(stream: DataFrame, days: int, key: str = "event_id", time: str = "ts") -> DataFrame:
     """(event_id, created_at, change) of a stream of events: "kept" when one comes, "ended" once it is older than the newest by more than `days`.
 
-    The watermark runs that many days behind the newest event, so what it passes has ended: an event's state is its time and a timer,
-    and goes with them. Events that are too old when they come are never kept; repeats of a kept id do nothing. What is kept
-    and has not ended after the last batch are the rows that activity.retained() leaves of all events so far.
+    The watermark runs that many days behind the newest event, so what it passes has ended. The events of an hour share state
+    and a timer, which go with the last of them. Events that are too old when they come are never kept; repeats of an event do
+    nothing. What is kept and has not ended after the last batch are the rows that activity.retained() leaves of all events so
+    far. Times count in milliseconds here.
     """
     with_large_state(stream.sparkSession)
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, f"{days} days")
     timed = timed.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).cast("long").alias("event_id"), time, F.unix_micros(time).alias("micros"))
-    return timed.groupBy("event_id").transformWithStateInPandas(Kept(), "event_id long, created_at timestamp, change string", "append", "EventTime")
+    keyed = timed.withColumns({"span": F.floor(F.col("micros") / (SPAN_SECONDS * 1_000_000)), "share": F.pmod(F.xxhash64("event_id"), F.lit(SHARES)).cast("int")})
+    return keyed.groupBy("span", "share").transformWithStateInPandas(Kept(), "event_id long, created_at timestamp, change string", "append", "EventTime")
 
 
 def work_queue(stream: DataFrame, work: Callable[[DataFrame], None], checkpoint: str, key: str = "event_id") -> StreamingQuery:

@@ -42,6 +42,7 @@ class Lane(StatefulProcessor):
         # At one time what ends a job comes before what submits it again.
         found = found.assign(late=found["command"] == "submit").sort_values(["at", "late", "job_id"], kind="stable")
         out: list[tuple] = []
+        self._load()
         for job, command, at, payload in zip(found["job_id"], found["command"], found["at"], found["payload"], strict=True):
             now = timerValues.getCurrentProcessingTimeInMs() if self.wall else at.value // 1_000_000
             self._expire(now, out, key[0])
@@ -51,32 +52,47 @@ class Lane(StatefulProcessor):
             elif self.known.containsKey((job,)):
                 self._ended(job, command == "done", out, key[0], now)
             self._hand_out(out, key[0], now)
+        self._store()
         yield self._frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
+        self._load()
         self._expire(expiredTimerInfo.getExpiryTimeInMs(), out, key[0])
+        self._store()
         yield self._frame(out)
 
+    def _load(self) -> None:
+        """What runs in the lane, and where its queue begins and ends."""
+        self.before = {job: run for (job,), run in self.running.iterator()}
+        self.runs = dict(self.before)
+        self.head, self.tail = self.cursor.get() if self.cursor.exists() else (0, 0)
+
+    def _store(self) -> None:
+        for job in self.before.keys() - self.runs.keys():
+            self.running.removeKey((job,))
+        for job, run in self.runs.items():
+            if self.before.get(job) != run:
+                self.running.updateValue((job,), run)
+                self.handle.registerTimer(run[2])
+        self.cursor.update((self.head, self.tail))
+
     def _expire(self, now: int, out: list[tuple], lane: int) -> None:
         """Ends leases in the order of their ends, each at its own time, so that orders don't depend on how commands fall into batches."""
-        while over := [(until, job) for (job,), (_, _, until) in self.running.iterator() if until <= now]:
-            until, job = min(over)
+        while self.runs and (first := min((until, job) for job, (_, _, until) in self.runs.items()))[0] <= now:
+            until, job = first
             self._ended(job, False, out, lane, until)
             self._hand_out(out, lane, until)
 
     def _wait(self, job: str, payload: str | None, attempt: int) -> None:
-        head, tail = self.cursor.get() if self.cursor.exists() else (0, 0)
-        self.waiting.updateValue((tail,), (job, payload, attempt))
-        self.known.updateValue((job,), (tail,))
-        self.cursor.update((head, tail + 1))
+        self.waiting.updateValue((self.tail,), (job, payload, attempt))
+        self.known.updateValue((job,), (self.tail,))
+        self.tail += 1
 
     def _ended(self, job: str, well: bool, out: list[tuple], lane: int, now: int) -> None:
         """Forgets a job that is done, in time or after its lease; one that failed or ran out of its lease waits again, or is given up."""
-        run = self.running.getValue((job,)) if self.running.containsKey((job,)) else None
-        if run:
-            self.running.removeKey((job,))
-        elif not well:
+        run = self.runs.pop(job, None)
+        if not run and not well:
             return
         if well or run[1] >= self.attempts:
             self.known.removeKey((job,))
@@ -86,22 +102,15 @@ class Lane(StatefulProcessor):
             self._wait(job, run[0], run[1])
 
     def _hand_out(self, out: list[tuple], lane: int, now: int) -> None:
-        if not self.cursor.exists():
-            return
-        head, tail = self.cursor.get()
-        free = self.slots - sum(1 for _ in self.running.keys()) if head < tail else 0
-        while free > 0 and head < tail:
-            job, payload, attempt = self.waiting.getValue((head,))
-            self.waiting.removeKey((head,))
+        while len(self.runs) < self.slots and self.head < self.tail:
+            job, payload, attempt = self.waiting.getValue((self.head,))
+            self.waiting.removeKey((self.head,))
             # A job that was done while it waited for another try has gone, or waits elsewhere.
-            if self.known.containsKey((job,)) and self.known.getValue((job,)) == (head,):
+            if self.known.containsKey((job,)) and self.known.getValue((job,)) == (self.head,):
                 self.known.updateValue((job,), (-1,))
-                self.running.updateValue((job,), (payload, attempt + 1, now + self.lease_ms))
-                self.handle.registerTimer(now + self.lease_ms)
+                self.runs[job] = (payload, attempt + 1, now + self.lease_ms)
                 out.append((lane, job, attempt + 1, "run", payload, now))
-                free -= 1
-            head += 1
-        self.cursor.update((head, tail))
+            self.head += 1
 
     @staticmethod
     def _frame(out: list[tuple]) -> pd.DataFrame:
