@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import align as A
 from ..operators import changes as C
 from ..functions.catalogue import clause_catalogue
-from ..operators import chunks, clauses, ingest, redline, retrieve, verify
+from ..operators import chunks, clauses, ingest, redline, retrieve, verify, views
 from ..operators.embed import hashed_words
 from ..streaming.citations import filtered_text
 from . import ask, compare
@@ -126,6 +126,54 @@ def quote_guard(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(guard.alias("guard")).agg(F.count("*").alias("n"), F.sum(F.size(verify.segments(F.col("text")))).cast("long").alias("segments"))
 
 
+#: Characters that the compatibility form changes, and what it makes of them.
+_COMPAT, _COMPAT_PLAIN = " o\ufb01ce \u2460 \uff46\uff55ll \u00bd \u2122 \u2026 \ufb00x", " ofice 1 full 1\u20442 TM ... ffx"
+
+
+@query(f"""SELECT doc_id, md5(k) AS keep, md5({_join('k')}) AS "join", md5(regexp_replace(k, '{_WS}+', '', 'g')) AS loose, length(k)::BIGINT AS n
+FROM (SELECT doc_id, {_keep(f"coalesce(text, '') || '{_COMPAT_PLAIN}'")} AS k FROM documents)""")
+def compatible_views(spark: SparkSession, d: str) -> DataFrame:
+    """Views of texts with characters that have a compatibility form, made together with their maps."""
+    v = views.with_views(docs(spark, d, "doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(_COMPAT)).alias("text")))
+    return v.select("doc_id", *(F.md5(f"{c}.s").alias(c) for c in ("keep", "join", "loose")), F.length("keep.s").cast("long").alias("n"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_keep("coalesce(text, '')")} AS k FROM documents),
+n AS (SELECT doc_id, 'confidential o' || chr(64259) || 'ce ' || doc_id AS needle FROM documents)
+SELECT doc_id, (length(text) + 2)::INT AS first, (length(text) + 2 + length(needle))::INT AS past FROM n JOIN (SELECT doc_id, coalesce(text, '') AS text FROM documents) USING (doc_id)""")
+def mapped_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """Where in the source, with its own ligature and spaces, words stand that are sought in the keep view."""
+    needle = F.concat(F.lit("confidential office "), F.col("doc_id").cast("string"))
+    rows = docs(spark, d, "doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" \tconfidential o\ufb03ce "), F.col("doc_id").cast("string"), F.lit("\n")).alias("text"))
+    found = views.with_views(rows).select("doc_id", F.element_at(views.occurrences(F.col("keep"), needle), -1).alias("o"))
+    return found.select("doc_id", F.col("o.start").alias("first"), F.col("o.end").alias("past"))
+
+
+_SEEN = f"regexp_matches(s, '{_NEITHER.replace('A-Za-z0-9_', '')}')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, replace(coalesce(text, ''), '...', '---') AS t FROM documents),
+q AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN doc_id + 1 ELSE doc_id END AS named, left(t, 60) AS s1, CASE WHEN doc_id % 3 = 2 THEN replace(right(t, 60), 'e', 'a') ELSE right(t, 60) END AS s2 FROM t),
+g AS (SELECT doc_id, named, s1, s2, {_keep("s1 || ' [...] ' || s2")} AS whole FROM q),
+s AS MATERIALIZED (SELECT doc_id, named, n, {_keep('s')} AS k FROM (SELECT doc_id, named, 1 AS n, s1 AS s FROM g WHERE length(whole) >= 20 UNION ALL SELECT doc_id, named, 2, s2 FROM g WHERE length(whole) >= 20) WHERE {_SEEN}),
+sv AS MATERIALIZED (SELECT *, {_join('k')} AS j, regexp_replace(k, '{_WS}+', '', 'g') AS l FROM s),
+d AS MATERIALIZED (SELECT doc_id, {_keep("coalesce(text, '')")} AS k FROM documents),
+dv AS MATERIALIZED (SELECT doc_id, k, {_join('k')} AS j, regexp_replace(k, '{_WS}+', '', 'g') AS l FROM d),
+h AS MATERIALIZED (SELECT sv.doc_id, n, bool_or(named = dv.doc_id AND (contains(dv.k, sv.k) OR contains(dv.j, sv.j))) AS own, bool_or(named = dv.doc_id AND contains(dv.l, sv.l)) AS loose,
+  bool_or(named <> dv.doc_id AND (contains(dv.k, sv.k) OR contains(dv.j, sv.j))) AS other FROM sv JOIN dv ON length(sv.k) >= 20 AND (named = dv.doc_id OR contains(dv.k, sv.k) OR contains(dv.j, sv.j)) GROUP BY ALL),
+v AS (SELECT sv.doc_id, sv.n, coalesce(own, false) AS own, CASE WHEN length(k) < 20 THEN 'TOO_SHORT' WHEN NOT EXISTS (FROM documents x WHERE x.doc_id = named) THEN 'WRONG_DOCUMENT' WHEN own OR loose THEN NULL WHEN other THEN 'WRONG_DOCUMENT' ELSE 'NOT_FOUND' END AS fail
+  FROM sv LEFT JOIN h USING (doc_id, n)),
+r AS (SELECT doc_id, count(*) AS n, arg_min(fail, v.n) FILTER (fail IS NOT NULL) AS fail, bool_and(own) AS exact FROM v GROUP BY doc_id)
+SELECT g.doc_id, coalesce(r.n, 0)::BIGINT AS n_segments, CASE WHEN length(whole) < 20 OR r.n IS NULL THEN 'TOO_SHORT' WHEN fail IS NOT NULL THEN fail WHEN exact THEN 'exact' ELSE 'loose' END AS status FROM g LEFT JOIN r USING (doc_id)""")
+def quote_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The beginning and end of each document as one quote in two segments; a third name the next document, a third have a changed end."""
+    t = F.replace(F.coalesce("text", F.lit("")), F.lit("..."), F.lit("---"))
+    last = F.when(F.col("doc_id") % 3 == 2, F.replace(F.right(t, F.lit(60)), F.lit("e"), F.lit("a"))).otherwise(F.right(t, F.lit(60)))
+    q = docs(spark, d, F.col("doc_id").alias("quote_id"), F.when(F.col("doc_id") % 3 == 1, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("named"), F.concat(F.left(t, F.lit(60)), F.lit(" [...] "), last).alias("text"))
+    v = verify.verify_quotes(q.withColumnRenamed("named", "doc_id"), docs(spark, d, "doc_id", "text"), compat=False)
+    return v.select(F.col("quote_id").alias("doc_id"), F.col("n_segments").cast("long").alias("n_segments"), F.coalesce("fail_reason", "kind").alias("status"))
+
+
 @query(f"""SELECT doc_id, md5(k) AS keep, md5({_join('k')}) AS "join", md5(regexp_replace(k, '{_WS}+', '', 'g')) AS loose
 FROM (SELECT doc_id, {_keep("coalesce(replace(replace(text, '. ', '.' || chr(8217) || chr(160) || chr(8212) || ' '), 'er ', 'er- '), '')")} AS k FROM documents)""")
 def normalise_views(spark: SparkSession, d: str) -> DataFrame:
@@ -563,10 +611,46 @@ def edit_verify(spark: SparkSession, d: str) -> DataFrame:
     return redline.verify_edits(edits, rows.select("doc_id", F.col("old").alias("text"))).select("doc_id", "verified", "occurrences", "drop_reason")
 
 
-@query("""SELECT conv_id, turn, md5(replace(replace(text || ' [Q1] [note] [Q12]', '. ', ' [Q3]. '), '[Q12]', '')) AS text FROM conversations WHERE text NOT LIKE '%[%' AND text NOT LIKE '%]%'""")
+_TRIM = lambda x: f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+_COUNT = lambda a: f"((length(doc) - length(replace(doc, {a}, ''))) / length({a}))::INT"
+
+
+@query(f"""WITH e AS (SELECT doc_id, coalesce(text, '') AS doc, substr(coalesce(text, ''), 40, 4) AS t, substr(coalesce(text, ''), 28, 12) AS before, substr(coalesce(text, ''), 44, 12) AS after FROM documents),
+b AS (SELECT *, {_TRIM('before')} AS b, {_TRIM('after')} AS a, CASE WHEN ends_with(before, ' ') THEN ' ' ELSE '' END AS gb, CASE WHEN starts_with(after, ' ') THEN ' ' ELSE '' END AS ga FROM e),
+x AS (SELECT *, CASE WHEN a <> '' AND b <> '' THEN b || gb || t || ga || a END AS x1, CASE WHEN b <> '' THEN b || gb || t END AS x2, CASE WHEN a <> '' THEN t || ga || a END AS x3 FROM b),
+n AS (SELECT *, CASE WHEN t = '' THEN 0 ELSE {_COUNT('t')} END AS n, {_COUNT('x1')} AS n1, {_COUNT('x2')} AS n2, {_COUNT('x3')} AS n3 FROM x),
+r AS (SELECT *, {_TRIM('t')} <> '' AND t <> 'new' AND n > 0 AND (n = 1 OR coalesce(n1 = 1, false) OR coalesce(n2 = 1, false) OR coalesce(n3 = 1, false)) AS verified, coalesce(greatest(n1, n2, n3), 0) AS most FROM n)
+SELECT doc_id, verified, CASE WHEN verified THEN 1 WHEN {_TRIM('t')} = '' THEN 0 WHEN n < 2 OR t = 'new' THEN n WHEN most > 1 THEN most ELSE n END::INT AS occurrences,
+  CASE WHEN verified THEN CASE WHEN n = 1 THEN strpos(doc, t) - 1 WHEN n1 = 1 THEN strpos(doc, x1) - 1 + strpos(x1, t) - 1 WHEN n2 = 1 THEN strpos(doc, x2) - 1 + length(b || gb) ELSE strpos(doc, x3) - 1 END END::INT AS match_start,
+  CASE WHEN verified AND n > 1 THEN CASE WHEN n1 = 1 THEN x1 WHEN n2 = 1 THEN x2 ELSE x3 END END AS matched_clause FROM r""")
+def edit_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Four characters of each document as an edit's target, with what stands before and after them as its context."""
+    t = F.coalesce("text", F.lit(""))
+    part = lambda at, n: F.substring(t, at, n)
+    none = F.lit(None).cast("string")
+    edits = docs(spark, d, F.col("doc_id").alias("edit_id"), "doc_id", part(40, 4).alias("target"), F.lit("new").alias("replacement"), part(28, 12).alias("context_before"), part(44, 12).alias("context_after"),
+                 *(none.alias(c) for c in ("reason", "passage", "expected_original", "actual_document_value", "pre_failed_reason")), F.lit(False).alias("pre_failed"))
+    return redline.verify_edits(edits, docs(spark, d, "doc_id", "text")).select("doc_id", "verified", F.col("occurrences").cast("int").alias("occurrences"), F.col("match_start").cast("int").alias("match_start"), "matched_clause")
+
+
+@query(r"""WITH i AS (SELECT doc_id, 'USD ' || (doc_id * 7 % 1000 + 1) AS old, 'USD ' || (doc_id * 11 % 1000 + 1) AS new, doc_id % 3 AS kind FROM documents)
+SELECT doc_id, 0 AS ord, CASE WHEN kind <> 2 THEN old END AS expected, new AS replacement, CASE WHEN kind <> 1 THEN 'yearly fee' END AS concept FROM i
+UNION ALL SELECT doc_id, 1, '30 days', '60 days', 'payment terms' FROM i""")
+def edit_intents(spark: SparkSession, d: str) -> DataFrame:
+    """Instructions of two parts, with amounts by document, as what they ask for."""
+    i = F.col("doc_id")
+    amount = lambda by: F.concat(F.lit("USD "), (i * by % 1000 + 1).cast("string"))
+    old, new = amount(7), amount(11)
+    first = F.when(i % 3 == 0, F.concat(F.lit("Change the yearly fee from "), old, F.lit(" to "), new)).when(i % 3 == 1, F.concat(F.lit("Replace "), old, F.lit(" with "), new)).otherwise(F.concat(F.lit("Set the yearly fee to "), new))
+    rows = docs(spark, d, i.alias("instruction_id"), F.concat(first, F.lit("; update payment terms from 30 days to 60 days")).alias("instruction"))
+    return redline.intents(rows).select(F.col("instruction_id").alias("doc_id"), F.col("ord").cast("int").alias("ord"), "expected", "replacement", "concept")
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(replace(text || ' [Q1] [note] [Q12]', '. ', ' [Q3]. ') || '[Q1', '\[[^\]]*$', '') AS t FROM conversations)
+SELECT conv_id, turn, md5(array_to_string(list_filter(regexp_extract_all(t, '\[[^\]]*\]|[^\[]+'), lambda p: NOT regexp_matches(p, '^\[Q[0-9]+\]$') OR p IN ('[Q1]', '[Q3]')), '')) AS text FROM t""")
 def citation_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Answers with citations put in, without those of unverified quotes."""
-    rows = spark.read.parquet(f"{d}/conversations.parquet").where(~F.col("text").contains("[") & ~F.col("text").contains("]"))
+    """Turns with citations put in, without those of unverified quotes."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
     text = F.concat(F.replace(F.concat("text", F.lit(" [Q1] [note] [Q12]")), F.lit(". "), F.lit(" [Q3]. ")), F.lit("[Q1"))
     return rows.select("conv_id", "turn", F.md5(filtered_text(text, F.array(F.lit("Q1"), F.lit("Q3")))).alias("text"))
 
