@@ -144,7 +144,7 @@ SELECT doc_id, (length(text) + 2)::INT AS first, (length(text) + 2 + length(need
 def mapped_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """Where in the source, with its own ligature and spaces, words stand that are sought in the keep view."""
     needle = F.concat(F.lit("confidential office "), F.col("doc_id").cast("string"))
-    rows = docs(spark, d, "doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" \tconfidential o\ufb03ce "), F.col("doc_id").cast("string"), F.lit("\n")).alias("text"))
+    rows = docs(spark, d, "doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" \tconfidential o\ufb03ce "), F.col("doc_id").cast("string"), F.lit("\n end")).alias("text"))
     found = views.with_views(rows).select("doc_id", F.element_at(views.occurrences(F.col("keep"), needle), -1).alias("o"))
     return found.select("doc_id", F.col("o.start").alias("first"), F.col("o.end").alias("past"))
 
