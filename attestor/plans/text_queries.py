@@ -412,8 +412,15 @@ def added_removed(spark: SparkSession, d: str) -> DataFrame:
     return one(a, "a_ord", "REMOVED").unionByName(one(b, "b_ord", "ADDED"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {VERSIONS_SQL},
+l AS (SELECT pair_id, list([{{'i': i, 'a': a_ord, 'b': b_ord, 'n': 1::BIGINT, 'c': abs(b_ord - a_ord), 'p': -1::BIGINT}}] ORDER BY a_ord) AS l
+  FROM (SELECT pair_id, a_ord::BIGINT AS a_ord, b_ord::BIGINT AS b_ord, row_number() OVER (PARTITION BY pair_id ORDER BY a_ord) AS i FROM m) GROUP BY pair_id),
+best AS (SELECT pair_id, unnest(list_reduce(l, lambda x, y: x || [(list_transform([list_min(list_transform(list_filter(x, lambda q: q.b < y[1].b), lambda q: {{'n': -q.n, 'c': q.c, 'i': q.i}}))],
+  lambda f: {{'i': y[1].i, 'a': y[1].a, 'b': y[1].b, 'n': coalesce(-f.n, 0) + 1, 'c': coalesce(f.c, 0) + y[1].c, 'p': coalesce(f.i, -1)}}))[1]])) AS e FROM l),
+stay(pair_id, i) AS (SELECT pair_id, arg_min(e.i, {{'n': -e.n, 'c': e.c, 'i': e.i}}) FROM best GROUP BY pair_id UNION ALL SELECT s.pair_id, b.e.p FROM stay s JOIN best b ON b.pair_id = s.pair_id AND b.e.i = s.i WHERE b.e.p > 0)
+SELECT pair_id::BIGINT AS pair_id, e.a::INT AS a_ord, e.b::INT AS b_ord, NOT EXISTS (FROM stay s WHERE s.pair_id = best.pair_id AND s.i = e.i) AS moved FROM best""")
 def lis_moves(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of two versions that are equal: which moved, the longest run in order staying."""
     return A.moves(A.exact_matches(*versions(spark, d)))
 
 
