@@ -22,8 +22,8 @@ from .shared import Workspace
 
 #: Rates are whole multiples of 2**-24 when they are summed; a source may then hold 2**38 documents.
 UNIT = 1 << 24
-#: Newton's sums are in whole multiples of this share of a source's own size.
-FINE = 1_000_000_000
+#: Newton's sums are in whole multiples of this share of a source's own size: fine enough that the rounding of a million classes stays under `near`.
+FINE = 10**15
 OFFSETS = 64
 
 
@@ -55,7 +55,7 @@ def rate(cap: int) -> Column:
 
 
 def dual(work: Workspace, classes: DataFrame, goals: DataFrame, cap: int, steps: int, near: float) -> DataFrame:
-    """goals (source, mean, source_size, docs, target) with a, b, the dual's solution."""
+    """goals (source, mean, source_size, docs, target) with a, b, the dual's solution: words miss no target by more than `near` of their source. Raises if no such is found."""
     full = F.col("target") >= F.col("source_size") * cap  # the dual's solution lies at infinity: every rate is the cap
     found = work.keep(goals.where("source_size > 0").withColumns({"a": F.when(full, 50.0).otherwise(0.0), "b": F.lit(0.0)}), "dual0")
     whole = lambda c: F.sum(F.round(c * F.lit(float(FINE))).cast("decimal(38,0)")).cast("double") / F.lit(float(FINE))
@@ -77,9 +77,11 @@ def dual(work: Workspace, classes: DataFrame, goals: DataFrame, cap: int, steps:
         step = step.withColumn("gap", F.abs("d1"))
         step = step.select("source", "mean", "source_size", "docs", "target", (F.col("a") + bound(da)).alias("a"), (F.col("b") + bound(db)).alias("b"), "gap")
         found = work.keep(step, f"dual{k}")
-        if (found.agg(F.max("gap")).first()[0] or 0.0) < near:
-            break
-    return found
+        gap = found.agg(F.max("gap")).first()[0] or 0.0
+        if gap < near:
+            return found
+        work.drop(f"dual{k - 1}")
+    raise RuntimeError(f"after {steps} Newton steps a source misses its target by {gap:.3g} of its size; rows with a prior of 0 may put it out of reach")
 
 
 def mix_sources(
@@ -92,6 +94,7 @@ def mix_sources(
     may be null; it is last. prior is a base rate for each row (default 1, nulls and negatives count as 0). Documents of
     size 0, and those of sources without words, are taken once. Ids may repeat; every row is a document. An empty table
     gives an empty result. Other columns, whatever their names, are ignored. At most cap copies are made of a document.
+    Priors under which a source cannot reach its target raise.
     """
     work = Workspace(docs.sparkSession, "mix")
     rows = docs.select(
