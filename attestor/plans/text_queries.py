@@ -317,9 +317,52 @@ def line_offsets(spark: SparkSession, d: str) -> DataFrame:
     return clauses.line_offsets(docs(spark, d, "doc_id", "text")).select("doc_id", "line_no", "start", "end", F.md5("line").alias("line"))
 
 
-@query()
+def _re2(pattern: str) -> str:
+    """A pattern of the library as a DuckDB literal."""
+    return "'" + pattern.replace(P.SPACE, _SPACE).replace(r"\u00a0", r"\x{A0}").replace("'", "''") + "'"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '{_SPACE}+'), lambda w: w <> '')"
+
+
+_GROUP = lambda p, k: f"regexp_extract(t, {_re2(p)}, {k})"
+_CLEAN = r"""lower(regexp_replace(w, '^[("''\[]|[)"''\].,;:]$', '', 'g'))"""
+_SMALL = ", ".join(f"'{w}'" for w in P.SMALL_WORDS)
+#: Clauses of a table `src` (doc_id, text).
+CLAUSES_SQL = f"""
+cl_line AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line, len(ls) AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM src WHERE length({_trim('text')}) > 0))),
+cl_place AS (SELECT *, {_trim('line')} AS t, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM cl_line),
+cl_word AS (SELECT *, {_words('t')} AS w, list_filter({_words('t')}, lambda w: {_CLEAN} <> '' AND NOT list_contains([{_SMALL}], {_CLEAN})) AS s FROM cl_place),
+cl_kind AS (SELECT *, CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, {_re2(P.NUMBERED)}) THEN 'numbered' WHEN regexp_matches(t, {_re2(P.LABELLED)}) THEN 'labelled' WHEN regexp_matches(t, {_re2(P.LETTERED)}) THEN 'lettered'
+  WHEN regexp_matches(t, '[.!?]$') THEN NULL WHEN regexp_matches(t, {_re2(P.ALL_CAPS)}) THEN 'alone'
+  WHEN len(w) BETWEEN 1 AND 10 AND len(s) > 0 AND len(list_filter(s, lambda x: regexp_matches(x, '^[A-Z0-9]'))) / len(s) >= 0.7 THEN 'alone' END AS kind FROM cl_word),
+cl_rest AS (SELECT *, CASE kind WHEN 'numbered' THEN coalesce(nullif({_GROUP(P.NUMBERED, 1)}, ''), {_GROUP(P.NUMBERED, 2)}) WHEN 'labelled' THEN {_GROUP(P.LABELLED, 1)} WHEN 'lettered' THEN coalesce(nullif({_GROUP(P.LETTERED, 1)}, ''), {_GROUP(P.LETTERED, 2)}) END AS number,
+  {_trim(f"CASE kind WHEN 'numbered' THEN {_GROUP(P.NUMBERED, 3)} WHEN 'labelled' THEN regexp_replace({_GROUP(P.LABELLED, 2)}, '^[-.:)" + r"\s\x{A0}" + f"]+', '') WHEN 'lettered' THEN {_GROUP(P.LETTERED, 3)} END")} AS r FROM cl_kind),
+cl_cut AS (SELECT *, strpos(r, ':') - 1 AS colon, strpos(r, ' - ') - 1 AS dash, {_trim("substr(r, 1, strpos(r, ':') - 1)")} AS bc, {_trim("substr(r, strpos(r, ':') + 1)")} AS ac, {_trim("substr(r, 1, strpos(r, ' - ') - 1)")} AS bd, {_trim("substr(r, strpos(r, ' - ') + 3)")} AS ad FROM cl_rest),
+cl_form AS (SELECT *, CASE WHEN coalesce(r, '') = '' THEN 'none' WHEN colon BETWEEN 1 AND 60 AND len({_words('bc')}) <= 10 THEN 'colon' WHEN dash BETWEEN 1 AND 60 THEN 'dash' WHEN len({_words('r')}) <= 8 AND NOT regexp_matches(r, '[.!?]') THEN 'heading' ELSE 'body' END AS form FROM cl_cut),
+cl_mark AS (SELECT *, CASE WHEN kind = 'alone' THEN t WHEN form = 'colon' THEN bc WHEN form = 'dash' THEN coalesce(nullif(bd, ''), ad) WHEN form = 'heading' THEN r END AS heading, CASE WHEN form = 'colon' THEN nullif(ac, '') WHEN form = 'body' THEN r END AS body FROM cl_form),
+cl_run AS (SELECT *, count(kind) OVER upto AS clause, sum((line = '')::INT) OVER upto AS run, max((kind IS NOT NULL OR t <> '')::INT) OVER upto AS begun FROM cl_mark WINDOW upto AS (PARTITION BY doc_id ORDER BY line_no)),
+cl_all AS (SELECT *, count(kind) OVER (PARTITION BY doc_id) AS markers, count(kind) OVER (PARTITION BY doc_id) + max((clause = 0)::INT) OVER (PARTITION BY doc_id) AS clauses,
+  CASE WHEN line_no = n - 2 AND lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) = '' THEN 1 ELSE 0 END AS tail FROM cl_run WHERE begun = 1),
+cl_sure AS (SELECT *, markers >= 2 AND clauses >= 2 AS sure FROM cl_all),
+cl_made AS (SELECT doc_id, CASE WHEN sure THEN clause ELSE run END AS session, sure, any_value(markers) AS markers, any_value(clauses) AS clauses, min(CASE WHEN sure THEN start WHEN t <> '' THEN start + length(line) - length(regexp_replace(line, '^{_SPACE}+', '')) END) AS start,
+  max(start + length(line) + CASE WHEN sure THEN 0 ELSE tail END) AS "end", max(number) AS number, max(heading) AS heading, bool_or(kind IS NOT NULL) AS marked,
+  {_trim("string_agg(CASE WHEN kind IS NOT NULL THEN body WHEN t <> '' THEN line END, chr(10) ORDER BY line_no)")} AS body, {_trim("string_agg(line, chr(10) ORDER BY line_no)")} AS whole
+  FROM cl_sure WHERE sure OR line <> '' GROUP BY ALL),
+clause AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY session) - 1)::INT AS ord, CASE WHEN sure THEN number END AS number, CASE WHEN sure THEN CASE WHEN marked THEN heading ELSE 'Preamble' END END AS heading,
+  coalesce(CASE WHEN sure THEN nullif(body, '') END, whole) AS text, start::INT AS start, "end"::INT AS "end", CASE WHEN sure THEN least(1.0, round(0.75 + markers / clauses * 0.25, 2)) ELSE 0.45 END::DOUBLE AS confidence, NOT sure AS uncertain FROM cl_made WHERE start IS NOT NULL)"""
+
+
+@query(f"""WITH src AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN array_to_string(m, chr(10) || chr(10)) WHEN doc_id % 2 = 0 THEN array_to_string(m, chr(10)) ELSE text END AS text
+  FROM (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN i || '. ' || x ELSE x END) AS m FROM documents)),
+{CLAUSES_SQL} SELECT * REPLACE (md5(text) AS text) FROM clause""")
 def clause_units(spark: SparkSession, d: str) -> DataFrame:
-    """Clauses of documents whose lines get numbers, so both ways of cutting are taken; tests hold them to a plain rule."""
+    """Clauses of documents whose lines get numbers, so both ways of cutting are taken."""
     marked = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat((i + 1).cast("string"), F.lit(". "), x)).otherwise(x))
     text = F.when(F.col("doc_id") % 4 == 0, F.array_join(marked, "\n\n")).otherwise(F.array_join(marked, "\n"))
     rows = docs(spark, d, "doc_id", "text").withColumn("text", F.when(F.col("doc_id") % 2 == 0, text).otherwise(F.col("text")))
