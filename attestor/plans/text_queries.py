@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import align as A
 from ..operators import changes as C
 from ..functions.catalogue import clause_catalogue
+from ..lineage import once
 from ..operators import chunks, clauses, ingest, redline, retrieve, verify, views
 from ..operators.embed import hashed_words
 from ..streaming.citations import filtered_text
@@ -767,6 +768,57 @@ def ask_documents(spark: SparkSession, d: str) -> DataFrame:
     return said.join(count, "question_id", "left").select("doc_id", "chunks_read", "chunks_total", "complete", F.coalesce("verified", F.lit(0)).alias("verified"), F.coalesce("unverified", F.lit(0)).alias("unverified"), F.md5("answer").alias("answer"))
 
 
+_TITLE = lambda x: _collapse(f"regexp_replace(lower(coalesce({x}, '')), '{_NEITHER}', '', 'g')")
+_EXACT = lambda x: f"regexp_replace(regexp_replace(replace({x}, chr(13) || chr(10), chr(10)), '[ \\t]+', ' ', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+_COSMETIC = lambda x: _collapse(f"regexp_replace(regexp_replace(lower({x}), '^(?:section|article|clause)?{_SPACE}*[0-9.a-z:()-]+{_SPACE}*', ''), '{_NEITHER}', '', 'g')")
+#: Greedy choice: clauses of a in order each take the best of their candidates that is free, the last of equals.
+_GREEDY = lambda name, candidates, least: f"""{name}_one AS (SELECT pair_id, a, list({{'a': a, 'b': b, 's': s}} ORDER BY s DESC, b DESC) AS few FROM {candidates} WHERE s >= {least} GROUP BY ALL),
+{name}_all AS (SELECT pair_id, list_reduce([[]::STRUCT(a BIGINT, b BIGINT, s DOUBLE)[]] || list(few ORDER BY a), lambda x, y: x || list_filter(y, lambda q: NOT list_contains(list_transform(x, lambda z: z.b), q.b))[1:1]) AS c FROM {name}_one GROUP BY pair_id),
+{name} AS (SELECT pair_id, e.a AS a, e.b AS b, e.s AS s FROM (SELECT pair_id, unnest(c) AS e FROM {name}_all))"""
+
+
+@query(f"""WITH RECURSIVE l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l1 AS (SELECT doc_id, ls, ls[2:len(ls) - 1] || ls[1:1] || ['A fee of USD 500 shall be due.'] AS new FROM l0),
+src AS (SELECT doc_id * 2 AS doc_id, array_to_string(list_transform(ls, lambda x, i: i || '. Term ' || chr((65 + i % 3)::INT) || chr(10) || x), chr(10)) AS text FROM l1
+  UNION ALL SELECT doc_id * 2 + 1, array_to_string(list_transform(new, lambda x, i: i || '. Term ' || chr((65 + i % 3)::INT) || chr(10) || CASE i % 6 WHEN 1 THEN regexp_replace(x, '^([^ ]+) ', '\\1 not ') WHEN 4 THEN regexp_replace(x, '^([^ ]+) ', '\\1, ') ELSE x END), chr(10)) FROM l1),
+{CLAUSES_SQL},
+v AS MATERIALIZED (SELECT doc_id // 2 AS pair_id, doc_id % 2 AS side, ord::BIGINT AS ord, text, {_EXACT('text')} AS h, {_TITLE('heading')} AS title, regexp_replace(coalesce(number, ''), '[^A-Za-z0-9_]', '', 'g') AS num, {_COSMETIC('text')} AS cosmetic,
+  regexp_replace(lower(text), '{_SPACE}+', ' ', 'g') AS low FROM clause),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side, h ORDER BY ord) AS k FROM v),
+m AS MATERIALIZED (SELECT x.pair_id, x.ord AS a_ord, y.ord AS b_ord FROM r x JOIN r y ON x.pair_id = y.pair_id AND x.h = y.h AND x.k = y.k AND x.side = 0 AND y.side = 1),
+l AS (SELECT pair_id, list([{{'i': i, 'a': a_ord, 'b': b_ord, 'n': 1::BIGINT, 'c': abs(b_ord - a_ord), 'p': -1::BIGINT}}] ORDER BY a_ord) AS l FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY a_ord) AS i FROM m) GROUP BY pair_id),
+best AS MATERIALIZED (SELECT pair_id, unnest(list_reduce(l, lambda x, y: x || [(list_transform([list_min(list_transform(list_filter(x, lambda q: q.b < y[1].b), lambda q: {{'n': -q.n, 'c': q.c, 'i': q.i}}))],
+  lambda f: {{'i': y[1].i, 'a': y[1].a, 'b': y[1].b, 'n': coalesce(-f.n, 0) + 1, 'c': coalesce(f.c, 0) + y[1].c, 'p': coalesce(f.i, -1)}}))[1]])) AS e FROM l),
+stay(pair_id, i) AS (SELECT pair_id, arg_min(e.i, {{'n': -e.n, 'c': e.c, 'i': e.i}}) FROM best GROUP BY pair_id UNION ALL SELECT s.pair_id, b.e.p FROM stay s JOIN best b ON b.pair_id = s.pair_id AND b.e.i = s.i WHERE b.e.p > 0),
+moved AS (SELECT pair_id, e.a AS a, e.b AS b FROM best WHERE NOT EXISTS (FROM stay s WHERE s.pair_id = best.pair_id AND s.i = e.i)),
+fa AS MATERIALIZED (SELECT * FROM v WHERE side = 0 AND NOT EXISTS (FROM m WHERE m.pair_id = v.pair_id AND a_ord = ord)), fb AS MATERIALIZED (SELECT * FROM v WHERE side = 1 AND NOT EXISTS (FROM m WHERE m.pair_id = v.pair_id AND b_ord = ord)),
+g AS MATERIALIZED (SELECT pair_id, side, ord, gram, count(*) AS n FROM (SELECT pair_id, side, ord, unnest(list_transform(range(1, length(low)), lambda i: substr(low, i, 2))) AS gram FROM (FROM fa UNION ALL FROM fb)) GROUP BY ALL),
+shared AS MATERIALIZED (SELECT x.pair_id, x.ord AS a, y.ord AS b, sum(least(x.n, y.n)) AS n FROM g x JOIN g y ON x.pair_id = y.pair_id AND x.gram = y.gram AND x.side = 0 AND y.side = 1 GROUP BY ALL),
+pair AS MATERIALIZED (SELECT fa.pair_id, fa.ord AS a, fb.ord AS b, (fa.title <> '' AND fa.title = fb.title) OR (fa.num <> '' AND fa.num = fb.num) AS keyed,
+  CASE WHEN fa.low = fb.low THEN 1.0 WHEN length(fa.low) < 2 OR length(fb.low) < 2 THEN 0.0 ELSE 2 * coalesce(n, 0) / (length(fa.low) + length(fb.low) - 2) END::DOUBLE AS s
+  FROM fa JOIN fb ON fa.pair_id = fb.pair_id LEFT JOIN shared ON shared.pair_id = fa.pair_id AND shared.a = fa.ord AND shared.b = fb.ord),
+p1 AS (SELECT * FROM pair WHERE keyed), {_GREEDY('one', 'p1', 0.5)},
+p2 AS (SELECT * FROM pair WHERE NOT EXISTS (FROM one WHERE one.pair_id = pair.pair_id AND one.a = pair.a) AND NOT EXISTS (FROM one WHERE one.pair_id = pair.pair_id AND one.b = pair.b)), {_GREEDY('two', 'p2', 0.6)},
+made AS (FROM one UNION ALL FROM two),
+rows AS (SELECT pair_id, 'MOVED' AS type, 1.0::DOUBLE AS s, a, b FROM moved UNION ALL SELECT pair_id, 'MODIFIED', s, a, b FROM made
+  UNION ALL SELECT pair_id, 'ADDED', 0, NULL, ord FROM fb WHERE NOT EXISTS (FROM made WHERE made.pair_id = fb.pair_id AND made.b = fb.ord)
+  UNION ALL SELECT pair_id, 'REMOVED', 0, ord, NULL FROM fa WHERE NOT EXISTS (FROM made WHERE made.pair_id = fa.pair_id AND made.a = fa.ord))
+SELECT rows.pair_id, (row_number() OVER (PARTITION BY rows.pair_id ORDER BY coalesce(b, a + 100000), a) - 1)::INT AS order_idx, type, round(s, 6) AS similarity, a::INT AS a_ord, b::INT AS b_ord,
+  type = 'MODIFIED' AND (SELECT cosmetic FROM v WHERE v.pair_id = rows.pair_id AND side = 0 AND ord = a) = (SELECT cosmetic FROM v WHERE v.pair_id = rows.pair_id AND side = 1 AND ord = b) AS cosmetic FROM rows""")
+def aligned_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as clauses, one to a line, aligned with an edited version: its first clause moved, others changed in words or in marks only, one added and one removed."""
+    rows = docs(spark, d, "doc_id", "text")
+    lines = F.split("text", "\n")
+    new = F.concat(F.slice(lines, 2, F.greatest(F.size(lines) - 2, F.lit(0))), F.slice(lines, 1, 1), F.array(F.lit("A fee of USD 500 shall be due.")))
+    head = lambda i: F.concat((i + 1).cast("string"), F.lit(". Term "), F.chr(65 + (i + 1) % 3), F.lit("\n"))
+    old = F.transform(lines, lambda x, i: F.concat(head(i), x))
+    edited = F.transform(new, lambda x, i: F.concat(head(i), F.when(i % 6 == 0, F.regexp_replace(x, "^([^ ]+) ", "$1 not ")).when(i % 6 == 3, F.regexp_replace(x, "^([^ ]+) ", "$1, ")).otherwise(x)))
+    both = rows.select((F.col("doc_id") * 2).alias("doc_id"), F.array_join(old, "\n").alias("text")).unionByName(rows.select((F.col("doc_id") * 2 + 1).alias("doc_id"), F.array_join(edited, "\n").alias("text")))
+    cut = once(clauses.split_clauses(both)).withColumn("pair_id", F.floor(F.col("doc_id") / 2).cast("long"))
+    found, _ = A.align(*(cut.where(F.col("doc_id") % 2 == side).drop("doc_id") for side in (0, 1)))
+    return found.select("pair_id", "order_idx", "type", F.round("similarity", 6).alias("similarity"), "a_ord", "b_ord", "cosmetic")
+
+
 @query()
 def compare_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document compared with an edited version of itself: a moved, a changed, an added and a removed line."""
