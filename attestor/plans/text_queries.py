@@ -11,7 +11,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import align as A
 from ..operators import changes as C
-from ..functions.catalogue import clause_catalogue
+from ..functions.catalogue import CLAUSES, clause_catalogue
 from ..lineage import once
 from ..operators import chunks, clauses, ingest, redline, retrieve, verify, views
 from ..operators.embed import hashed_words
@@ -741,9 +741,17 @@ def page_display(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", n.alias("n"), T.truncated(F.col("html"), 500, "[cut]").alias("head"), T.highlighted(F.col("url"), F.lit("example  en")).alias("marked"), T.byte_size(n).alias("size"), T.confidence(F.col("page_id") % 100 / 100).alias("trust"))
 
 
-@query("SELECT 'governing_law' AS id, 'Governing Law & Jurisdiction' AS name, 3::INT AS n UNION ALL SELECT 'notices', 'Notices', 2")
+_CATALOGUE_SQL = "(VALUES " + ", ".join(f"('{c}', '{n}', {k}, '{q}')" for c, n, _, qs in (line.split(" | ") for line in CLAUSES.strip().split("\n")) for k, q in enumerate(qs.split("; "))) + ") AS c(id, name, query_idx, query)"
+
+
+@query(f"""SELECT id, name, query_idx::INT AS query_idx, count(doc_id)::BIGINT AS n FROM {_CATALOGUE_SQL} LEFT JOIN documents ON contains(lower(text), split_part(query, ' ', 1)) GROUP BY ALL""")
 def clause_library(spark: SparkSession, d: str) -> DataFrame:
-    return clause_catalogue(spark).where(F.col("id").isin("governing_law", "notices")).select("id", "name", F.size("queries").alias("n"))
+    """Each ready-made search with the number of documents that hold its first word."""
+    asked = clause_catalogue(spark).select("id", "name", F.posexplode("queries").alias("query_idx", "query")).select("id", "name", "query_idx", F.split_part("query", F.lit(" "), F.lit(1)).alias("word"))
+    words = sorted({r.word for r in asked.select("word").distinct().collect()})  # a fixed list
+    low = F.lower("text")
+    held = docs(spark, d, F.explode(F.filter(F.array(*(F.when(F.contains(low, F.lit(w)), w) for w in words)), lambda w: w.isNotNull())).alias("word"))
+    return asked.join(held.groupBy("word").agg(F.count("*").alias("n")), "word", "left").select("id", "name", "query_idx", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query()
