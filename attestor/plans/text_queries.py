@@ -113,7 +113,7 @@ def quote_occurrences(spark: SparkSession, d: str) -> DataFrame:
     q = verify.keyed_views(quotes(spark, d), "text", False).where(verify.length_guard(F.col("keep")).isNull()).select("quote_id", F.col("keep").alias("needle"))
     v = verify.keyed_views(docs(spark, d, "doc_id", "text"), "text", False).select("doc_id", F.col("keep").alias("hay"))
     rows = verify.substring_pairs(q, v, "needle", "hay", "quote_id", "doc_id").join(q, "quote_id").join(v, "doc_id")
-    return rows.select(F.col("quote_id").alias("item_id"), "doc_id", F.size(verify.find_all(F.col("hay"), F.col("needle"))).alias("n"))
+    return rows.select(F.col("quote_id").alias("item_id"), "doc_id", F.size(views.find_all(F.col("hay"), F.col("needle"))).alias("n"))
 
 
 @query(f"""SELECT coalesce(CASE WHEN length(k) < 20 THEN 'TOO_SHORT' WHEN length(k) > 2000 THEN 'TOO_LONG' END, 'OK') AS guard, count(*)::BIGINT AS n, sum(segments)::BIGINT AS segments
