@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import shared_folder
 from ..operators import ingest
-from ..sources import document_source
+from ..sources import document_source, sinks
 from ..sources.tables import KeyedTable
 from ..streaming import citations, events, jobs
 
@@ -107,3 +107,32 @@ def ingest_files(spark: SparkSession, d: str) -> DataFrame:
     rows.repartition("file").write.partitionBy("file").json(path)
     documents, _ = ingest.ingested(document_source.read_documents(spark, path))
     return documents.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), "status", "page_count", "char_count", F.col("token_estimate").cast("long").alias("token_estimate"), "error_code")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL")
+def event_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events appended to a log by day as a stream, counted from the log."""
+    path = folder(spark, "log")
+    events.append_log(events.event_stream(spark, f"{d}/events.parquet*"), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.groupBy(F.col("day").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def event_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as JSON lines by a stream and read back."""
+    path = folder(spark, "lines")
+    stream = events.event_stream(spark, f"{d}/events.parquet*").select("event_id", "user_id", "event_type", "value")
+    events.event_lines(stream, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).json(f"{path}/rows")
+
+
+@query("SELECT o_orderstatus, count(*)::BIGINT * CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS n, sum(o_orderkey)::BIGINT * CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 2 END AS keys FROM orders GROUP BY o_orderstatus")
+def replaced_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by status: all appended twice, then the finished ones replaced by themselves with other keys."""
+    path = folder(spark, "partitions")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    sinks.append(rows, path, ["o_orderstatus"])
+    sinks.append(rows, path, ["o_orderstatus"])
+    sinks.replace_partitions(rows.where("o_orderstatus = 'F'").withColumn("o_orderkey", -F.col("o_orderkey")), path, ["o_orderstatus"])
+    return spark.read.schema(rows.schema).parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as T
 from ..operators import activity as A
-from ..operators import changes, ingest, redline, relations
+from ..operators import changes, ingest, redline, relations, verify
 from ..sources import files, sinks
 
 QUERIES, ORACLE = {}, {}
@@ -402,3 +402,61 @@ def coverage_text(spark: SparkSession, d: str) -> DataFrame:
 FROM reads GROUP BY o_custkey""")
 def not_found_in_all(spark: SparkSession, d: str) -> DataFrame:
     return A.not_found_in_all(partly_read(spark, d).withColumnRenamed("o_orderkey", "ord"), "o_custkey")
+
+
+@query("SELECT event_id, least(75, floor(15 + (event_id % 40) / 40 * 60 + 0.5))::INT AS progress, (event_id % 7 + 1) % 7 AS next, (event_id % 7 + 6) % 7 AS previous, replace(lower(event_type || ' Case No ' || event_id), ' ', '-') AS slug, CASE (TIMESTAMP '2024-01-30'::DATE - ts::DATE) WHEN 0 THEN 'Today' WHEN 1 THEN 'Yesterday' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events")
+def viewer_values(spark: SparkSession, d: str) -> DataFrame:
+    """Progress of a read page, steps in a cycle of occurrences, slugs and day labels."""
+    i = F.col("event_id")
+    return table(spark, d, "events").select(
+        "event_id", T.progress(i % 40, F.lit(40)).alias("progress"), T.stepped(i % 7, F.lit(7), 1).alias("next"), T.stepped(i % 7, F.lit(7), -1).alias("previous"),
+        T.plain_slug(F.concat("event_type", F.lit(" Case No "), i.cast("string"))).alias("slug"), redline.day_label(F.col("ts"), F.lit("2024-01-30").cast("date")).alias("day"),
+    )
+
+
+@query("""SELECT event_id, (event_id % 100)::INT AS k, 'event ' || event_id AS name, CASE WHEN event_id % 3 = 2 THEN NULL ELSE event_type END AS kind FROM events""")
+def tolerant_json(spark: SparkSession, d: str) -> DataFrame:
+    """Objects out of replies with code fences, words around them or a list around them."""
+    i = F.col("event_id")
+    body = F.concat(F.lit('{"k": '), (i % 100).cast("string"), F.lit(', "name": "event '), i.cast("string"), F.lit('"'), F.when(i % 3 == 2, "").otherwise(F.concat(F.lit(', "kind": "'), "event_type", F.lit('"'))), F.lit("}"))
+    reply = F.when(i % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```  "))).when(i % 3 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" - done."))).otherwise(F.concat(F.lit(" "), body))
+    found = F.from_json(T.outermost_json(T.unfenced(reply)), "k int, name string, kind string")
+    return table(spark, d, "events").select("event_id", found.alias("f")).select("event_id", "f.*")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN event_id % 50 || '-' || (event_id % 50 + 5 + event_id % 3) || CASE WHEN event_id % 4 = 1 THEN ';90-95' ELSE '' END END AS ranges FROM events""")
+def range_params(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges of a viewer's address, of which one in four is no range."""
+    i = F.col("event_id")
+    first = F.concat((i % 50).cast("string"), F.lit("-"), (i % 50 + 5 + i % 3).cast("string"))
+    param = F.when(i % 4 == 0, first).when(i % 4 == 1, F.concat(first, F.lit(",90-95"))).when(i % 4 == 2, F.concat(F.lit(" "), first, F.lit(" "))).otherwise(F.concat(first, F.lit(",7-7")))
+    parsed = verify.parsed_ranges(param)
+    return table(spark, d, "events").select("event_id", F.array_join(F.transform(parsed, lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ";").alias("ranges"))
+
+
+@query("""WITH r AS (SELECT c_custkey, (['viewer', 'Paralegal', 'lawyer', 'ADMIN', 'guest'])[(c_custkey % 5 + 1)::INT] AS role FROM customer)
+SELECT c_custkey, lower(role) IN ('lawyer', 'admin') AS may FROM r""")
+def role_ranks(spark: SparkSession, d: str) -> DataFrame:
+    role = F.get(F.array(*map(F.lit, ("viewer", "Paralegal", "lawyer", "ADMIN", "guest"))), (F.col("c_custkey") % 5).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", A.role_at_least(role, "lawyer").alias("may"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ar')")
+def contains_filter(spark: SparkSession, d: str) -> DataFrame:
+    return A.containing(table(spark, d, "part"), "p_name", "AR").select("p_partkey", "p_name")
+
+
+CHANGES_SQL = """ch AS (SELECT l_orderkey AS pair_id, l_linenumber::INT AS order_idx, (['COSMETIC', 'LOW', 'MEDIUM', 'HIGH'])[(l_quantity::INT % 4 + 1)::INT] AS significance FROM lineitem),
+re AS (SELECT pair_id, order_idx, (['low', 'HIGH', NULL, 'MEDIUM'])[((pair_id + order_idx) % 4 + 1)::INT] AS s, 'reply ' || order_idx AS t FROM ch WHERE pair_id % 2 = 0)"""
+
+
+@query(f"""WITH {CHANGES_SQL}, rank AS (SELECT ch.*, s, t, list_position(['COSMETIC', 'LOW', 'MEDIUM', 'HIGH'], significance) AS floor, list_position(['COSMETIC', 'LOW', 'MEDIUM', 'HIGH'], upper(s)) AS said FROM ch LEFT JOIN re USING (pair_id, order_idx))
+SELECT pair_id, order_idx, CASE WHEN s IS NULL THEN significance ELSE (['COSMETIC', 'LOW', 'MEDIUM', 'HIGH'])[greatest(said, floor)] END AS significance, coalesce(t, 'title') AS title, CASE WHEN t IS NULL THEN 'DETERMINISTIC' ELSE 'AI' END AS summary_source, (order_idx // 3)::INT AS batch FROM rank""")
+def replies_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Changes with replies for every other pair: no reply lowers a significance. In batches of three."""
+    levels = lambda *v: F.array(*map(F.lit, v))
+    q = F.col("l_quantity").cast("int")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").cast("int").alias("order_idx"), F.get(levels("COSMETIC", "LOW", "MEDIUM", "HIGH"), q % 4).alias("significance"), F.lit("title").alias("title"), F.lit("summary").alias("summary"))
+    which = ((F.col("pair_id") + F.col("order_idx")) % 4).cast("int")
+    replies = rows.where("pair_id % 2 = 0").select("pair_id", "order_idx", F.get(levels("low", "HIGH", None, "MEDIUM"), which).alias("significance"), *(F.concat(F.lit("reply "), F.col("order_idx").cast("string")).alias(c) for c in ("title", "summary")))
+    return changes.batches(changes.with_replies(rows, replies), 3).select("pair_id", "order_idx", "significance", "title", "summary_source", "batch")

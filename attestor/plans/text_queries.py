@@ -666,22 +666,50 @@ _TRIM = lambda x: f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"  # no
 _COUNT = lambda a: f"((length(doc) - length(replace(doc, {a}, ''))) / length({a}))::INT"
 
 
-@query(f"""WITH e AS (SELECT doc_id, coalesce(text, '') AS doc, substr(coalesce(text, ''), 40, 4) AS t, substr(coalesce(text, ''), 28, 12) AS before, substr(coalesce(text, ''), 44, 12) AS after FROM documents),
+ANCHORS_SQL = f"""e AS (SELECT doc_id, coalesce(text, '') AS doc, substr(coalesce(text, ''), 40, 4) AS t, substr(coalesce(text, ''), 28, 12) AS before, substr(coalesce(text, ''), 44, 12) AS after FROM documents),
 b AS (SELECT *, {_TRIM('before')} AS b, {_TRIM('after')} AS a, CASE WHEN ends_with(before, ' ') THEN ' ' ELSE '' END AS gb, CASE WHEN starts_with(after, ' ') THEN ' ' ELSE '' END AS ga FROM e),
 x AS (SELECT *, CASE WHEN a <> '' AND b <> '' THEN b || gb || t || ga || a END AS x1, CASE WHEN b <> '' THEN b || gb || t END AS x2, CASE WHEN a <> '' THEN t || ga || a END AS x3 FROM b),
 n AS (SELECT *, CASE WHEN t = '' THEN 0 ELSE {_COUNT('t')} END AS n, {_COUNT('x1')} AS n1, {_COUNT('x2')} AS n2, {_COUNT('x3')} AS n3 FROM x),
-r AS (SELECT *, {_TRIM('t')} <> '' AND t <> 'new' AND n > 0 AND (n = 1 OR coalesce(n1 = 1, false) OR coalesce(n2 = 1, false) OR coalesce(n3 = 1, false)) AS verified, coalesce(greatest(n1, n2, n3), 0) AS most FROM n)
+r AS (SELECT *, {_TRIM('t')} <> '' AND t <> 'new' AND n > 0 AND (n = 1 OR coalesce(n1 = 1, false) OR coalesce(n2 = 1, false) OR coalesce(n3 = 1, false)) AS verified, coalesce(greatest(n1, n2, n3), 0) AS most FROM n),
+place AS (SELECT *, CASE WHEN verified THEN CASE WHEN n = 1 THEN strpos(doc, t) - 1 WHEN n1 = 1 THEN strpos(doc, x1) - 1 + strpos(x1, t) - 1 WHEN n2 = 1 THEN strpos(doc, x2) - 1 + length(b || gb) ELSE strpos(doc, x3) - 1 END END::INT AS match_start FROM r)"""
+
+
+@query(f"""WITH {ANCHORS_SQL}
 SELECT doc_id, verified, CASE WHEN verified THEN 1 WHEN {_TRIM('t')} = '' THEN 0 WHEN n < 2 OR t = 'new' THEN n WHEN most > 1 THEN most ELSE n END::INT AS occurrences,
-  CASE WHEN verified THEN CASE WHEN n = 1 THEN strpos(doc, t) - 1 WHEN n1 = 1 THEN strpos(doc, x1) - 1 + strpos(x1, t) - 1 WHEN n2 = 1 THEN strpos(doc, x2) - 1 + length(b || gb) ELSE strpos(doc, x3) - 1 END END::INT AS match_start,
-  CASE WHEN verified AND n > 1 THEN CASE WHEN n1 = 1 THEN x1 WHEN n2 = 1 THEN x2 ELSE x3 END END AS matched_clause FROM r""")
+  match_start,
+  CASE WHEN verified AND n > 1 THEN CASE WHEN n1 = 1 THEN x1 WHEN n2 = 1 THEN x2 ELSE x3 END END AS matched_clause FROM place""")
 def edit_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Four characters of each document as an edit's target, with what stands before and after them as its context."""
+    found = anchored(spark, d)
+    return found.select("doc_id", "verified", F.col("occurrences").cast("int").alias("occurrences"), F.col("match_start").cast("int").alias("match_start"), "matched_clause")
+
+
+def anchored(spark: SparkSession, d: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     part = lambda at, n: F.substring(t, at, n)
     none = F.lit(None).cast("string")
     edits = docs(spark, d, F.col("doc_id").alias("edit_id"), "doc_id", part(40, 4).alias("target"), F.lit("new").alias("replacement"), part(28, 12).alias("context_before"), part(44, 12).alias("context_after"),
                  *(none.alias(c) for c in ("reason", "passage", "expected_original", "actual_document_value", "pre_failed_reason")), F.lit(False).alias("pre_failed"))
-    return redline.verify_edits(edits, docs(spark, d, "doc_id", "text")).select("doc_id", "verified", F.col("occurrences").cast("int").alias("occurrences"), F.col("match_start").cast("int").alias("match_start"), "matched_clause")
+    return redline.verify_edits(edits, docs(spark, d, "doc_id", "text"))
+
+
+@query(f"""WITH {ANCHORS_SQL} SELECT doc_id, md5(left(doc, match_start) || 'new' || substr(doc, match_start + length(t) + 1)) AS text FROM place WHERE verified AND doc_id % 3 <> 0""")
+def edits_applied(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with those verified edits put in place that are included."""
+    edits = redline.chosen(anchored(spark, d).withColumn("include", F.col("doc_id") % 3 != 0))
+    return redline.applied(docs(spark, d, "doc_id", "text"), edits).select("doc_id", F.md5("text").alias("text"))
+
+
+@query(f"""WITH src AS (SELECT doc_id, coalesce(text, '') AS text, {_TRIM("regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')")} AS flat FROM documents),
+p AS (SELECT doc_id, text, flat, substr(text, 11, 40) AS a, replace(substr(text, 61, 40), ' ', '  ') AS b, 'no such ' || doc_id AS c FROM src),
+q AS (SELECT doc_id, text, flat, unnest([a, b, c, a]) AS passage, unnest([0, 1, 2, 3]) AS ord FROM p)
+SELECT doc_id, passage, min(ord)::INT AS ord FROM q WHERE trim(passage, ' ') <> '' AND (contains(text, passage) OR contains(trim(flat, ' '), trim(regexp_replace(passage, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '))) GROUP BY doc_id, passage""")
+def edit_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages as they stand, with other spaces, made up, and repeated, held to their documents."""
+    t = F.coalesce("text", F.lit(""))
+    a, b = F.substring(t, 11, 40), F.replace(F.substring(t, 61, 40), F.lit(" "), F.lit("  "))
+    rows = docs(spark, d, "doc_id", F.posexplode(F.array(a, b, F.concat(F.lit("no such "), F.col("doc_id").cast("string")), a)).alias("ord", "passage"))
+    return redline.passages_in(rows, docs(spark, d, "doc_id", t.alias("text"))).select("doc_id", "passage", "ord")
 
 
 @query(r"""WITH i AS (SELECT doc_id, 'USD ' || (doc_id * 7 % 1000 + 1) AS old, 'USD ' || (doc_id * 11 % 1000 + 1) AS new, doc_id % 3 AS kind FROM documents)
