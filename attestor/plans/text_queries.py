@@ -597,6 +597,28 @@ def significance_stats(spark: SparkSession, d: str) -> DataFrame:
     return C.stats(rows, same).drop("summary").select("pair_id", *(F.col(c).cast("long").alias(c) for c in ("total_changes", "high", "medium", "low", "cosmetic", "unchanged", "added", "removed", "modified", "moved")))
 
 
+@query(f"""WITH {PAIRS_SQL}, c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE heading END AS heading, {_category_sql('old', 'heading')} AS category FROM pair)
+SELECT doc_id, coalesce(nullif(heading, ''), array_to_string(list_transform(string_split(category, '_'), lambda x: upper(x[1]) || x[2:]), ' ')) AS title FROM c""")
+def change_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The title of a change: its heading, else its category."""
+    heading = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("heading"))
+    return pairs(spark, d).select("doc_id", M.title(heading, M.category(F.col("old"), F.col("heading"))).alias("title"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS pair_id, o_orderkey AS i, (['HIGH', 'MEDIUM', 'LOW', 'COSMETIC'])[(o_orderkey % 4 + 1)::INT] AS s FROM orders WHERE o_custkey % 3 > 0),
+n AS (SELECT pair_id, count(*) AS n, count(*) FILTER (s = 'HIGH') AS h, count(*) FILTER (s = 'MEDIUM') AS m, count(*) FILTER (s = 'LOW') AS l, list('Change ' || i || '.' ORDER BY i) FILTER (s = 'HIGH') AS top FROM c GROUP BY pair_id)
+SELECT c_custkey AS pair_id, CASE WHEN n IS NULL THEN 'No meaningful differences. ' || c_custkey || ' clauses are identical.'
+  ELSE n || ' meaningful change' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' detected (' || h || ' high, ' || m || ' medium, ' || l || ' low). ' || c_custkey || ' clauses are identical.' || CASE WHEN h > 0 THEN ' Key changes include: ' || array_to_string(top[1:2], ' ') ELSE '' END END AS summary
+FROM customer LEFT JOIN n ON pair_id = c_custkey""")
+def overall_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What is said of all changes of a pair, orders being the changes of a customer."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").where("o_custkey % 3 > 0")
+    level = F.get(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW", "COSMETIC"))), (F.col("o_orderkey") % 4).cast("int"))
+    rows = rows.select(F.col("o_custkey").alias("pair_id"), F.col("o_orderkey").alias("order_idx"), F.lit("MODIFIED").alias("type"), level.alias("significance"), F.concat(F.lit("Change "), F.col("o_orderkey").cast("string"), F.lit(".")).alias("summary"))
+    same = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("pair_id"), F.col("c_custkey").alias("unchanged"))
+    return C.stats(rows, same).select("pair_id", "summary")
+
+
 #: Sentences with key terms, put behind documents.
 LEGAL = (
     'This Lease is made by and between Acme Holdings, Inc. (the "Landlord") and Bob Smith ("Tenant") on March 3, 2021.',
@@ -700,6 +722,39 @@ def edits_applied(spark: SparkSession, d: str) -> DataFrame:
     return redline.applied(docs(spark, d, "doc_id", "text"), edits).select("doc_id", F.md5("text").alias("text"))
 
 
+@query(r"""WITH i AS (SELECT doc_id, 'USD ' || (doc_id * 7 % 1000 + 1) AS old, 'USD ' || (doc_id * 11 % 1000 + 1) AS new FROM documents)
+SELECT doc_id, 0 AS edit_id, old AS expected, new AS asked FROM i UNION ALL SELECT doc_id, 1, '30 days', '60 days' FROM i UNION ALL SELECT doc_id, 2, NULL, NULL FROM i""")
+def edit_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Three edits to each instruction of two parts: one has the new value, one the concept, one serves neither."""
+    i = F.col("doc_id")
+    amount = lambda by: F.concat(F.lit("USD "), (i * by % 1000 + 1).cast("string"))
+    told = docs(spark, d, i.alias("instruction_id"), F.concat(F.lit("Change the yearly fee from "), amount(7), F.lit(" to "), amount(11), F.lit("; update payment terms from 30 days to 60 days")).alias("instruction"))
+    edit = lambda n, target, new: F.struct(F.lit(n).alias("edit_id"), F.lit(target).alias("target"), new.alias("replacement"))
+    edits = docs(spark, d, i.alias("instruction_id"), F.explode(F.array(edit(0, "fee", F.concat(F.lit("now "), amount(11), F.lit(" a year"))), edit(1, "the Payment Terms apply", F.lit("xyz")), edit(2, "other", F.lit("zzz")))).alias("e"))
+    found = redline.correlated(edits.select("instruction_id", "e.*"), redline.intents(told))
+    return found.select(F.col("instruction_id").alias("doc_id"), "edit_id", "expected", "asked")
+
+
+@query("SELECT doc_id, 'USD ' || (doc_id * 7 % 1000 + 1) AS money, (doc_id % 90 + 1) || ' business days' AS time, (doc_id % 90 + 1)::VARCHAR AS number, NULL::VARCHAR AS nothing FROM documents")
+def actual_values(spark: SparkSession, d: str) -> DataFrame:
+    """What a clause has where another amount, time or number was expected."""
+    i = F.col("doc_id")
+    days = (i % 90 + 1).cast("string")
+    clause = F.concat(F.lit("Within "), days, F.lit(" business days a fee of USD "), (i * 7 % 1000 + 1).cast("string"), F.lit(" falls due."))
+    value = lambda expected, of=clause: redline.actual_value_in(of, F.lit(expected))
+    return docs(spark, d, "doc_id", value("USD 5,000").alias("money"), value("10 days").alias("time"), value("77").alias("number"), value("any words").alias("nothing"))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 OR doc_id % 5 >= len(string_split(text, chr(10))) AS untouched FROM documents WHERE text IS NOT NULL")
+def redline_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with one paragraph changed; for every other one the change is known."""
+    old = F.split("text", "\n")
+    k = (F.col("doc_id") % 5).cast("int")
+    new = F.transform(old, lambda x, i: F.when(i == k, F.concat(x, F.lit("!"))).otherwise(x))
+    rows = docs(spark, d, "doc_id", "text").where("text is not null")
+    return rows.select("doc_id", redline.untouched_paragraphs(old, new, F.array(F.when(F.col("doc_id") % 2 == 0, k).otherwise(-1))).alias("untouched"))
+
+
 @query(f"""WITH src AS (SELECT doc_id, coalesce(text, '') AS text, {_TRIM("regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')")} AS flat FROM documents),
 p AS (SELECT doc_id, text, flat, substr(text, 11, 40) AS a, replace(substr(text, 61, 40), ' ', '  ') AS b, 'no such ' || doc_id AS c FROM src),
 q AS (SELECT doc_id, text, flat, unnest([a, b, c, a]) AS passage, unnest([0, 1, 2, 3]) AS ord FROM p)
