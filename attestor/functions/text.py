@@ -117,9 +117,12 @@ def escaped_html(text: Column) -> Column:
     return text
 
 
-def byte_size(n: Column) -> Column:
-    """B, KB or MB with one decimal."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / (1024.0 * 1024.0)))
+def byte_size(n: Column, largest: str = "MB") -> Column:
+    """B, KB or MB with one decimal, ties to the even digit; null for null. With largest "KB" there is no MB."""
+    unit = lambda by, name: F.format_string(f"%.1f {name}", F.bround(n / by, 1))
+    kb = unit(1024.0, "KB")
+    size = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    return size.when(n.isNotNull(), kb if largest == "KB" else F.when(n < 1024 * 1024, kb).otherwise(unit(1024.0 * 1024.0, "MB")))
 
 
 def relative_time(then: Column, now: Column) -> Column:

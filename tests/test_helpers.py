@@ -33,6 +33,12 @@ def test_text_helpers(spark):
     assert values(spark, [(0, 3), (2, 3)], "k int, n int", T.stepped(F.col("k"), F.col("n"), -1)) == [2, 1]
 
 
+def test_byte_sizes_round_ties_to_even(spark):
+    sizes = [(1023,), (1024,), (2304,), (2816,), (2305,), (1 << 20,), (9 << 18,), (None,)]
+    assert values(spark, sizes, "n long", T.byte_size(F.col("n"))) == ["1023 B", "1.0 KB", "2.2 KB", "2.8 KB", "2.3 KB", "1.0 MB", "2.2 MB", None]
+    assert values(spark, [(1 << 20,)], "n long", T.byte_size(F.col("n"), "KB")) == ["1024.0 KB"]
+
+
 def test_roles_days_and_uploads(spark):
     roles = [("admin",), ("Lawyer",), ("paralegal",), ("guest",), (None,)]
     assert values(spark, roles, "r string", activity.role_at_least(F.col("r"), "lawyer")) == [True, True, False, False, None]
