@@ -126,8 +126,9 @@ def byte_size(n: Column, largest: str = "MB") -> Column:
 
 
 def relative_time(then: Column, now: Column) -> Column:
-    """Whole minutes, hours or days ago."""
-    minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 60)
+    """Whole minutes, hours or days ago, counted to the microsecond."""
+    passed = F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))
+    minutes = F.floor(passed / 60_000_000)  # a double holds 285 years of microseconds
     hours = F.floor(minutes / 60)
     return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(hours / 24).cast("string"), F.lit("d ago")))
 

@@ -39,6 +39,12 @@ def test_byte_sizes_round_ties_to_even(spark):
     assert values(spark, [(1 << 20,)], "n long", T.byte_size(F.col("n"), "KB")) == ["1024.0 KB"]
 
 
+def test_relative_times_count_parts_of_seconds(spark):
+    now = F.lit("2024-02-02 00:00:00").cast("timestamp")
+    then = [(datetime.datetime(2024, 1, 11, 0, 0, 0, 400_000),), (datetime.datetime(2024, 1, 11),), (datetime.datetime(2024, 2, 1, 23, 0, 0, 1),), (datetime.datetime(2024, 2, 1, 23),), (None,)]
+    assert values(spark, then, "t timestamp", T.relative_time(F.col("t"), now)) == ["21d ago", "22d ago", "59m ago", "1h ago", None]
+
+
 def test_roles_days_and_uploads(spark):
     roles = [("admin",), ("Lawyer",), ("paralegal",), ("guest",), (None,)]
     assert values(spark, roles, "r string", activity.role_at_least(F.col("r"), "lawyer")) == [True, True, False, False, None]
