@@ -14,11 +14,11 @@ def sections(docs: DataFrame, questions: DataFrame, most: int = 3, max_tokens: i
     """(all chunks, those to read for each question). questions: question_id, doc_id, question."""
     parts = chunks.char_chunks(docs, max_tokens)
     asked = questions.select("question_id", "doc_id", retrieve.concepts(F.col("question")).alias("asked"))
-    rows = once(parts.join(asked, "doc_id").withColumn("score", retrieve.chunk_score(F.col("text"), F.col("asked"))))
+    rows = once(parts.join(asked, "doc_id").withColumn("score", retrieve.chunk_score(F.col("text"), F.col("asked"))).drop("asked"))
     picked = retrieve.select_chunks(rows.drop("text"), ["question_id", "doc_id"], most)
     terms = asked.select("question_id", "doc_id", F.col("asked.terms").alias("terms"))
     near = retrieve.widen_selection(picked.select("question_id", "doc_id", "idx", "place").join(terms, ["question_id", "doc_id"]), rows.select("question_id", "doc_id", "idx", "total", "text"), F.col("terms"), ["question_id", "doc_id"], most)
-    return parts, near.join(rows.select("question_id", "doc_id", "idx", "total", "char_start", "char_end", "text"), ["question_id", "doc_id", "idx"])
+    return parts, once(near).join(rows.select("question_id", "doc_id", "idx", "total", "char_start", "char_end", "text"), ["question_id", "doc_id", "idx"])
 
 
 def best_sentence(read: DataFrame, questions: DataFrame) -> DataFrame:
@@ -35,15 +35,17 @@ def evidence(candidates: DataFrame, docs: DataFrame, pages: DataFrame, compat: b
     ids = candidates.withColumn("quote_id", F.xxhash64("question_id", "doc_id", "idx", "text"))
     judged = verify.verify_quotes(ids.select("quote_id", "doc_id", "text"), docs, compat=compat)
     keyed = verify.keyed_views(ids, "text", compat)
-    near = views.with_views(docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")).drop("text")
+    # Texts are dealt by document before their views are made, which with their maps are several times as large.
+    asked = docs.select("doc_id", "text").repartition("doc_id").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    near = views.with_views(asked).drop("text")
     # The first view that holds the first segment gives the range.
-    rows = keyed.join(near.withColumnsRenamed({"keep": "vk", "join": "vj", "loose": "vl"}), "doc_id")
+    rows = near.withColumnsRenamed({"keep": "vk", "join": "vj", "loose": "vl"}).join(keyed.hint("shuffle_hash"), "doc_id")
     at = lambda view, needle: views.occurrences(F.col(view), F.col(needle))
     rows = rows.select("quote_id", "question_id", "doc_id", "idx", "text", "chunk_start", "chunk_end", at("vk", "keep").alias("ok"), at("vj", "join").alias("oj"), at("vl", "loose").alias("ol"))
     found = F.when(F.size("ok") > 0, F.col("ok")).when(F.size("oj") > 0, F.col("oj")).otherwise(F.col("ol"))
     rows = rows.withColumn("occurrences", found).withColumn("o", verify.primary(F.col("occurrences"), F.col("chunk_start"), F.col("chunk_end")))
     rows = rows.join(judged, "quote_id").select("question_id", "doc_id", "idx", "text", "verified", "kind", "fail_reason", F.size("occurrences").alias("n_occurrences"), F.col("o.start").alias("start"), F.col("o.end").alias("end"))
-    rows = verify.numbered(rows, ["doc_id", "idx"], ["question_id"])
+    rows = verify.numbered(once(rows), ["doc_id", "idx"], ["question_id"])  # read twice: by the verified and the others
     rows = verify.page_of(rows, pages, "start", "page_start")
     last = rows.withColumn("last_char", F.greatest(F.col("start"), F.col("end") - 1))
     return verify.page_of(last, pages, "last_char", "page_end").drop("last_char")
@@ -52,7 +54,6 @@ def evidence(candidates: DataFrame, docs: DataFrame, pages: DataFrame, compat: b
 def answers(questions: DataFrame, docs: DataFrame, pages: DataFrame, compat: bool = True, max_tokens: int = 24_000) -> tuple[DataFrame, DataFrame]:
     """(quotes, answers) to questions: an answer is the evidence, or why there is none, with how much was read."""
     parts, read = sections(docs, questions, max_tokens=max_tokens)
-    read = once(read)
     quotes = once(evidence(once(best_sentence(read, questions)), docs, pages, compat))
     total = parts.groupBy("doc_id").agg(F.count("*").alias("chunks_total"))
     seen = read.groupBy("question_id", "doc_id").agg(F.count_distinct("idx").alias("chunks_read"))
