@@ -9,6 +9,7 @@ serial queue; more lanes spread over the cluster.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ class Lane(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        #: Where each known job waits, or -1 while it runs.
+        #: Where each job waits; those that run are in running.
         self.known = handle.getMapState("known", "job_id string", "place long")
         self.waiting = handle.getMapState("waiting", "place long", "job_id string, payload string, attempt int")
         self.cursor = handle.getValueState("cursor", "head long, tail long")
@@ -47,9 +48,9 @@ class Lane(StatefulProcessor):
             now = timerValues.getCurrentProcessingTimeInMs() if self.wall else at.value // 1_000_000
             self._expire(now, out, key[0])
             if command == "submit":
-                if not self.known.containsKey((job,)):
-                    self._wait(job, payload, 0)
-            elif self.known.containsKey((job,)):
+                if job not in self.runs and not self._waits(job):
+                    self._wait(job, payload, 0, out, key[0], now)
+            elif job in self.runs or self._waits(job):
                 self._ended(job, command == "done", out, key[0], now)
             self._hand_out(out, key[0], now)
         self._store()
@@ -66,6 +67,9 @@ class Lane(StatefulProcessor):
         """What runs in the lane, and where its queue begins and ends."""
         self.before = {job: run for (job,), run in self.running.iterator()}
         self.runs = dict(self.before)
+        #: (until, job) of all leases. Those of jobs that ended before stay until they come first.
+        self.ends = [(until, job) for job, (_, _, until) in self.runs.items()]
+        heapify(self.ends)
         self.head, self.tail = self.cursor.get() if self.cursor.exists() else (0, 0)
 
     def _store(self) -> None:
@@ -79,12 +83,26 @@ class Lane(StatefulProcessor):
 
     def _expire(self, now: int, out: list[tuple], lane: int) -> None:
         """Ends leases in the order of their ends, each at its own time, so that orders don't depend on how commands fall into batches."""
-        while self.runs and (first := min((until, job) for job, (_, _, until) in self.runs.items()))[0] <= now:
-            until, job = first
-            self._ended(job, False, out, lane, until)
-            self._hand_out(out, lane, until)
-
-    def _wait(self, job: str, payload: str | None, attempt: int) -> None:
+        while self.ends and self.ends[0][0] <= now:
+            until, job = heappop(self.ends)
+            if job in self.runs and self.runs[job][2] == until:
+                self._ended(job, False, out, lane, until)
+                self._hand_out(out, lane, until)
+
+    def _waits(self, job: str) -> bool:
+        """Whether a job is in the queue; an empty one is not asked."""
+        return self.head < self.tail and self.known.containsKey((job,))
+
+    def _run(self, job: str, payload: str | None, attempt: int, out: list[tuple], lane: int, now: int) -> None:
+        self.runs[job] = (payload, attempt, now + self.lease_ms)
+        heappush(self.ends, (now + self.lease_ms, job))
+        out.append((lane, job, attempt, "run", payload, now))
+
+    def _wait(self, job: str, payload: str | None, attempt: int, out: list[tuple], lane: int, now: int) -> None:
+        """Puts a job at the queue's end, or hands it out at once where none waits and a slot is free."""
+        if self.head == self.tail and len(self.runs) < self.slots:
+            self._run(job, payload, attempt + 1, out, lane, now)
+            return
         self.waiting.updateValue((self.tail,), (job, payload, attempt))
         self.known.updateValue((job,), (self.tail,))
         self.tail += 1
@@ -95,11 +113,12 @@ class Lane(StatefulProcessor):
         if not run and not well:
             return
         if well or run[1] >= self.attempts:
-            self.known.removeKey((job,))
+            if not run:
+                self.known.removeKey((job,))
             if not well:
                 out.append((lane, job, run[1], "give up", run[0], now))
         else:
-            self._wait(job, run[0], run[1])
+            self._wait(job, run[0], run[1], out, lane, now)
 
     def _hand_out(self, out: list[tuple], lane: int, now: int) -> None:
         while len(self.runs) < self.slots and self.head < self.tail:
@@ -107,9 +126,8 @@ class Lane(StatefulProcessor):
             self.waiting.removeKey((self.head,))
             # A job that was done while it waited for another try has gone, or waits elsewhere.
             if self.known.containsKey((job,)) and self.known.getValue((job,)) == (self.head,):
-                self.known.updateValue((job,), (-1,))
-                self.runs[job] = (payload, attempt + 1, now + self.lease_ms)
-                out.append((lane, job, attempt + 1, "run", payload, now))
+                self.known.removeKey((job,))
+                self._run(job, payload, attempt + 1, out, lane, now)
             self.head += 1
 
     @staticmethod

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from attestor.operators import activity
@@ -90,3 +91,25 @@ def test_answers_cut_off_are_stopped_with_what_was_shown(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {(r.message_id, r.status, r.content) for r in rows if r.content is not None} == {(1, "STOPPED", "The cap [Q1] is "), (2, "COMPLETE", "Whole. End"), (3, "STOPPED", "Halted "), (4, "COMPLETE", "x")}
     assert {(r.message_id, "".join(x.text for x in sorted(rows, key=lambda x: x.seq) if x.message_id == r.message_id and x.text)) for r in rows} == {(1, "The cap [Q1] is "), (2, "Whole. End"), (3, "Halted "), (4, "x")}
+
+
+def test_a_lane_with_room_hands_out_without_asking_its_queue():
+    class Value:
+        exists = lambda self: False
+        update = lambda self, row: None
+
+    class Runs:
+        iterator = lambda self: iter(())
+        updateValue = lambda self, key, row: None
+
+    class Handle:
+        # The queue's own states are not there at all.
+        getMapState = lambda self, name, *kinds: Runs() if name == "running" else None
+        getValueState = lambda self, *names: Value()
+        registerTimer = lambda self, at: None
+
+    lane = jobs.Lane(1 << 30, 1000, 2, False)
+    lane.init(Handle())
+    rows = pd.DataFrame([("a", "submit", 0, "A"), ("b", "submit", 1, "B"), ("a", "submit", 2, "A"), ("b", "done", 500, None), ("b", "submit", 600, "B"), ("c", "submit", 1300, "C")], columns=["job_id", "command", "at", "payload"])
+    out = pd.concat(lane.handleInputRows((0,), iter([rows.assign(at=pd.to_datetime(rows["at"], unit="ms"))]), None))
+    assert list(zip(out["job_id"], out["attempt"], out["at"].astype("datetime64[ms]").astype("int64"))) == [("a", 1, 0), ("b", 1, 1), ("b", 1, 600), ("a", 2, 1000), ("c", 1, 1300)]
