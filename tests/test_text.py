@@ -112,3 +112,24 @@ def test_keys(spark):
     rows = spark.createDataFrame([("Section 1. The  Fee, 5.00",), ("Provider shall pay",), ("Customer shall pay",)], "t string").select(T.cosmetic_key(F.col("t")).alias("c"), T.title_key(F.col("t")).alias("t")).collect()
     assert rows[1].c == rows[2].c == "shall pay"
     assert rows[0].t == "section 1 the fee 500"
+
+
+def test_section_points_count_hits_without_patterns_and_windows_leave_words_behind(spark):
+    import re
+
+    from attestor.operators import retrieve
+
+    texts = ["days", "DAYS daysdays days,days.", "days" * 20, "days eren-ing\nings ing", "", "d\U0001f600ays \U0001f600days\U0001f600days", "30 days ther eder section 4"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "n int, text string")
+    asked = spark.range(1).select(retrieve.concepts(F.lit("about days, eren-ing or section 4")).alias("asked"))
+    made = rows.crossJoin(asked).select("n", "text", "asked", retrieve.chunk_score(F.col("text"), F.col("asked")).alias("score"))
+    assert "regexp_count" not in made._jdf.queryExecution().optimizedPlan().toString()
+    for r in made.collect():
+        low, q = r.text.lower(), r.asked
+        hit = {k: [x for x in q[k] if x in low] for k in ("terms", "phrases", "entities")}
+        share = sum(map(len, hit.values())) / len(q.terms)
+        want = 15 * len(hit["entities"]) + 12 * len(hit["phrases"]) + sum(3 + 0.5 * min(5, len(re.findall("(?s)" + re.escape(t) + ".?", low))) for t in hit["terms"]) + 10 * (share >= 0.6) + 15 * (share >= 0.8)
+        assert r.score == want
+    page = spark.createDataFrame([(1, 1, " ".join(map(str, range(1000))))], "doc_id long, page_no int, text string")
+    made = word_chunks(page, 200, 50)
+    assert "Generate explode(transform(" in made._jdf.queryExecution().optimizedPlan().toString() and [r.n_words for r in made.orderBy("chunk_index").collect()] == [200] * 6 + [100]
