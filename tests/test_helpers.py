@@ -53,3 +53,13 @@ def test_roles_days_and_uploads(spark):
     files = [("a.exe", None, 1), ("a.pdf", None, 10**9), ("a.pdf", "text/plain", 1), ("a.PDF", "application/pdf", 1), ("a.txt", "application/octet-stream", 1)]
     error = ingest.upload_error_py(F.col("n"), F.col("m"), F.col("s"))
     assert values(spark, files, "n string, m string, s long", error) == ["UNSUPPORTED_TYPE", "FILE_TOO_LARGE", "MIME_MISMATCH", None, None]
+
+
+def test_reads_of_a_chunk_are_counted_once_without_copies_of_rows(spark):
+    from attestor.operators import activity
+
+    rows = [(1, 0, True), (1, 0, False), (1, 1, True), (1, 1, True), (1, 2, None), (1, None, True), (1, None, False), (2, 7, False), (2, 7, False), (2, 3, False), (None, 1, True)]
+    made = activity.coverage(spark.createDataFrame(rows, "doc_id long, idx int, ok boolean"), spark.createDataFrame([(1, 2)], "doc_id long, n long"))
+    assert "Expand" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: (r.chunks_total, r.chunks_read, r.failed, r.complete, r.unreadable_pages) for r in made.collect()}
+    assert got == {1: (3, 2, [0], False, 2), 2: (2, 0, [3, 7], False, 0), None: (1, 1, [], True, 0)}
