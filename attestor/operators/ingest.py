@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import patterns as P
 from ..functions import text as T
+from ..lineage import once
 
 #: What a file must begin with, and what it must not.
 PDF, ZIP, EXECUTABLE = "25504446", "504B0304", ("4D5A", "7F454C46", "CAFEBABE", "FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE", "2321")
@@ -94,14 +95,17 @@ def assemble_page(items: list[dict], height: float) -> tuple[str, list[tuple]]:
     return text, out
 
 
+PLACED = ("start", "len", "x", "y", "w", "h")
+KEPT = ["doc_id", "page_no", "width", "height", "text", "items", "path", "name", "kind", "whole", "error"]
+
+
 def assemble_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, width, height, text, items) of raw pages (schemas.RAW_PAGE)."""
 
     def run(batches):
         for rows in batches:
             made = [assemble_page(list(i) if i is not None else [], h or 0.0) for i, h in zip(rows["items"], rows["height"], strict=True)]
-            names = ("start", "len", "x", "y", "w", "h")
-            yield pd.DataFrame({"doc_id": rows.doc_id, "page_no": rows.page_no, "width": rows.width, "height": rows.height, "text": [m[0] for m in made], "items": [[dict(zip(names, i, strict=True)) for i in m[1]] for m in made]})
+            yield pd.DataFrame({"doc_id": rows.doc_id, "page_no": rows.page_no, "width": rows.width, "height": rows.height, "text": [m[0] for m in made], "items": [[dict(zip(PLACED, i, strict=True)) for i in m[1]] for m in made]})
 
     return pages.mapInPandas(run, f"doc_id long, page_no int, width double, height double, text string, items array<{schemas.PAGE_ITEM}>")
 
@@ -162,6 +166,18 @@ def status_of(rows: DataFrame) -> DataFrame:
         "stage", F.when(error.isNotNull(), "Failed").when(F.col("char_count").isNull(), "Extracting text").otherwise("Ready"))
 
 
+def _read_pages(rows: DataFrame) -> DataFrame:
+    """What assemble_pages makes of the rows (schemas.RAW_PAGE, path, name, kind, whole, error) that are pages without an error, and all other columns of every row."""
+
+    def run(batches):
+        for rows in batches:
+            page = rows.page_no.notna() & rows.error.isna()
+            made = [assemble_page(list(i) if i is not None else [], h if h == h and h is not None else 0.0) if ok else (None, []) for ok, i, h in zip(page, rows["items"], rows["height"], strict=True)]
+            yield rows.assign(text=[m[0] for m in made], items=[[dict(zip(PLACED, i, strict=True)) for i in m[1]] for m in made])[KEPT]
+
+    return rows.mapInPandas(run, f"doc_id long, page_no int, width double, height double, text string, items array<{schemas.PAGE_ITEM}>, path string, name string, kind string, whole string, error string")
+
+
 def ingested(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, pages) of files as the source "documents" reads them.
 
@@ -171,11 +187,13 @@ def ingested(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     token_estimate, status, stage, error_code, error_message. pages: schemas.PAGE and text. doc_id is a hash of the path.
     """
     rows = files.withColumn("doc_id", F.xxhash64("path"))
-    failed = rows.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("message"))
-    own = rows.groupBy("doc_id").agg(F.any_value("path").alias("path"), F.any_value("name").alias("name"), F.any_value("kind").alias("kind"), F.max("text").alias("whole"))
-    pages = page_offsets(assemble_pages(rows.where("page_no is not null and error is null").select(*(f.split()[0] for f in schemas.RAW_PAGE.split(", ", 4)))))
+    # Files are opened and their items put together once: what is written has a row for each page, or for each file without.
+    columns = [f.split()[0] for f in schemas.RAW_PAGE.split(", ", 4)]
+    read = once(_read_pages(rows.select(*columns, "path", "name", "kind", F.col("text").alias("whole"), "error")))
+    own = read.groupBy("doc_id").agg(F.any_value("path").alias("path"), F.any_value("name").alias("name"), F.any_value("kind").alias("kind"), F.max("whole").alias("whole"), F.min("error").alias("message"))
+    pages = page_offsets(read.where("page_no is not null and error is null").select(*columns[:4], "text", "items"))
     made = canonical(pages).join(scan_check(pages).select("doc_id", "scanned"), "doc_id", "left")
-    found = own.join(failed, "doc_id", "left").join(made, "doc_id", "left")
+    found = own.join(made, "doc_id", "left")
     text = F.coalesce("whole", "text")
     code = F.when(F.col("message").isNotNull(), F.when(F.col("message").startswith("Unsupported"), "UNSUPPORTED_TYPE").otherwise("FILE_CORRUPT")).when(F.col("scanned"), "NO_TEXT_LAYER")
     ready = code.isNull()

@@ -77,3 +77,17 @@ def test_files_stream_once_each(spark, folder, tmp_path):
     with open(f"{folder}/later.txt", "w") as f:
         f.write("new words")
     assert run() == ["a.txt", "b.docx", "later.txt"]
+
+
+def test_ingested_reads_files_once(spark, tmp_path, monkeypatch):
+    """Files are opened by one pass, whatever follows reads what that wrote; pages, texts and failures keep what they held."""
+    (tmp_path / "a.txt").write_text("A plain text that is long enough to be read as a document of its own.")
+    (tmp_path / "b.jsonl").write_text('{"page_no": 1, "width": 10, "height": 20, "items": [{"str": "' + "x" * 60 + '", "transform": [1, 0, 0, 1, 2, 3], "width": 5, "height": 1, "has_eol": false}]}\n{"page_no": 2, "items": null}\n')
+    (tmp_path / "c.jsonl").write_text("not json\n")
+    files = source.read_documents(spark, str(tmp_path))
+    documents, pages = ingest.ingested(files)
+    plan = documents._jdf.queryExecution().optimizedPlan().toString() + pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "RelationV2" not in plan
+    got = {r.name: (r.status, r.page_count, r.char_count, r.error_code) for r in documents.collect()}
+    assert got == {"a.txt": ("READY", 1, 69, None), "b.jsonl": ("READY", 2, 62, None), "c.jsonl": ("FAILED", None, None, "FILE_CORRUPT")}
+    assert [(r.page_no, r.char_start, r.char_end, r.text, len(r["items"])) for r in pages.orderBy("page_no").collect()] == [(1, 0, 60, "x" * 60, 1), (2, 62, 62, "", 0)]
