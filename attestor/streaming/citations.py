@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,57 +72,103 @@ def answers(tokens: DataFrame, idle: int | None = None) -> DataFrame:
 MESSAGES = "message_id long, seq long, text string, status string, content string"
 
 
-class Message(StatefulProcessor):
-    """An answer in the making: what waits (an open bracket), what was shown, and whether it has ended."""
+class Lane(StatefulProcessor):
+    """The answers of a lane. One value lists the known ids, until when each is known and whether it has ended. Only answers that are still open
+    when a batch ends have a row of their own (what waits, what was shown, the newest token), so that one that is whole asks for no state.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.made = handle, handle.getValueState("made", "held string, content string, seq long, ended boolean, until long")
+        self.handle = handle
+        self.listed = handle.getValueState("listed", "ids binary, until binary, ended binary, timer long")
+        self.open = handle.getMapState("open", "message_id long", "held string, content string, seq long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        held, content, seq, ended, until = self.made.get() if self.made.exists() else ("", "", -1, False, 0)
-        found, out = pd.concat(list(rows)).sort_values("seq", kind="stable"), []
-        for n, token, verified, last, stop in zip(found["seq"], found["token"], found["verified"], found["last"], found["stop"], strict=True):
-            if ended:
-                break  # nothing of a stopped answer is read any more
-            seq = int(n)
-            if not stop:
-                text, held = passed(held + (token or ""), set(verified) if verified is not None else set(), bool(last))
-                content += text
-                out.append((key[0], seq, text, "STREAMING", None))
-            if stop or last:
-                ended = True
-                out.append((key[0], seq, None, "STOPPED" if stop else "COMPLETE", content))
-        if until:
-            self.handle.deleteTimer(until)
-        until = int(found["micros"].max()) // 1000 + self.idle_ms
-        self.handle.registerTimer(until)
-        self.made.update(("" if ended else held, "" if ended else content, seq, ended, until))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in MESSAGES.split(", ")])
+        found, out = pd.concat(list(rows)).sort_values(["message_id", "seq"], kind="stable"), []
+        known, timer = self._load()
+        tokens = zip(*(found[c].tolist() for c in ("message_id", "seq", "micros", "token", "verified", "last", "stop")), strict=True)
+        for message, own in groupby(tokens, lambda t: t[0]):
+            _, ended = known.get(message, (0, False))
+            waits = message in known and not ended
+            held, content, seq = self.open.getValue((message,)) if waits else ("", "", -1)
+            shown, newest = [content], None
+            for _, n, micros, token, verified, last, stop in own:
+                newest = micros if newest is None else max(newest, micros)
+                if ended:
+                    continue  # nothing of a stopped answer is read any more
+                seq = n
+                if not stop:
+                    text, held = passed(held + (token or ""), set(verified) if verified is not None else set(), last)
+                    shown.append(text)
+                    out.append((message, seq, text, "STREAMING", None))
+                if stop or last:
+                    ended = True
+                    out.append((message, seq, None, "STOPPED" if stop else "COMPLETE", "".join(shown)))
+            known[message] = (newest // 1000 + self.idle_ms, ended)
+            if not ended:
+                self.open.updateValue((message,), (held, "".join(shown), seq))
+            elif waits:
+                self.open.removeKey((message,))
+        self._store(known, timer)
+        yield self._frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, content, seq, ended, until = self.made.get()
-        if ended:
-            self.made.clear()
-            return
-        # Tokens that come late still find a stopped answer, for once more the idle time.
-        self.handle.registerTimer(until + self.idle_ms)
-        self.made.update(("", "", seq, True, until + self.idle_ms))
-        yield pd.DataFrame([(key[0], seq, None, "STOPPED", content)], columns=[f.split()[0] for f in MESSAGES.split(", ")])
-
-
-def messages(tokens: DataFrame, idle_seconds: int = 60, late: str = "0 seconds") -> DataFrame:
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        known, timer = self._load()
+        for message, (until, ended) in list(known.items()):
+            if until > now:
+                continue
+            if ended:
+                del known[message]
+                continue
+            _, content, seq = self.open.getValue((message,))
+            self.open.removeKey((message,))
+            out.append((message, seq, None, "STOPPED", content))
+            # Tokens that come late still find a stopped answer, for once more the idle time.
+            known[message] = (until + self.idle_ms, True)
+        self._store(known, timer)
+        yield self._frame(out)
+
+    def _load(self) -> tuple[dict[int, tuple[int, bool]], int]:
+        """Until when each message is known and whether it has ended, and the lane's timer (0: none)."""
+        if not self.listed.exists():
+            return {}, 0
+        ids, until, ended, timer = self.listed.get()
+        columns = (np.frombuffer(x, t).tolist() for x, t in ((ids, np.int64), (until, np.int64), (ended, np.bool_)))
+        return {message: (at, gone) for message, at, gone in zip(*columns, strict=True)}, timer
+
+    def _store(self, known: dict[int, tuple[int, bool]], timer: int) -> None:
+        """The lane has one timer, at the time when its first message runs out."""
+        first = min((until for until, _ in known.values()), default=0)
+        if first != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if first:
+                self.handle.registerTimer(first)
+        if known:
+            columns = (list(known), np.int64), ([until for until, _ in known.values()], np.int64), ([ended for _, ended in known.values()], np.bool_)
+            self.listed.update((*(np.array(x, t).tobytes() for x, t in columns), first))
+        else:
+            self.listed.clear()
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[f.split()[0] for f in MESSAGES.split(", ")]).astype({"message_id": "int64", "seq": "int64"})
+
+
+def messages(tokens: DataFrame, idle_seconds: int = 60, late: str = "0 seconds", lanes: int = 1024) -> DataFrame:
     """Answers as they are made, from streamed tokens (message_id, seq, at, token, verified array, last, stop).
 
     Each token gives a row (message_id, seq, text, STREAMING, null) with what of it can be shown, each answer one row more with all
     that was shown as content: COMPLETE with its last token, STOPPED where a row says stop (its own token is not read) or where the
     watermark has passed its newest token by the idle time. What was shown stays; an open bracket at the end never was.
     Tokens after the end are dropped. Nulls: a token counts as empty, last and stop as false; rows without an id or time are left out.
+    Messages are dealt to so many lanes, and a Python call serves a lane's tokens of a batch: they must fit in its memory.
     """
     with_large_state(tokens.sparkSession)
     timed = tokens.where("message_id is not null and at is not null").withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
     no = F.lit(False)
-    rows = timed.select("message_id", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "at", F.unix_micros("at").alias("micros"), "token", "verified", F.coalesce("last", no).alias("last"), F.coalesce("stop", no).alias("stop"))
-    return rows.groupBy("message_id").transformWithStateInPandas(Message(idle_seconds * 1000), MESSAGES, "append", "EventTime")
+    rows = timed.select(F.pmod(F.xxhash64("message_id"), F.lit(lanes)).cast("int").alias("lane"), F.col("message_id").cast("long").alias("message_id"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "at", F.unix_micros("at").alias("micros"), "token", "verified", F.coalesce("last", no).alias("last"), F.coalesce("stop", no).alias("stop"))
+    return rows.groupBy("lane").transformWithStateInPandas(Lane(idle_seconds * 1000), MESSAGES, "append", "EventTime")

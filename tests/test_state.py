@@ -113,3 +113,38 @@ def test_a_lane_with_room_hands_out_without_asking_its_queue():
     rows = pd.DataFrame([("a", "submit", 0, "A"), ("b", "submit", 1, "B"), ("a", "submit", 2, "A"), ("b", "done", 500, None), ("b", "submit", 600, "B"), ("c", "submit", 1300, "C")], columns=["job_id", "command", "at", "payload"])
     out = pd.concat(lane.handleInputRows((0,), iter([rows.assign(at=pd.to_datetime(rows["at"], unit="ms"))]), None))
     assert list(zip(out["job_id"], out["attempt"], out["at"].astype("datetime64[ms]").astype("int64"))) == [("a", 1, 0), ("b", 1, 1), ("b", 1, 600), ("a", 2, 1000), ("c", 1, 1300)]
+
+
+def test_answers_that_are_whole_ask_for_no_state_of_their_own():
+    asked = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: asked.append((name, a))
+
+    class Handle(State):
+        getMapState = getValueState = lambda self, *a: State()
+
+    lane = citations.Lane(60_000)
+    lane.init(Handle())
+    tokens = [(k, n, n * 1_000_000, f"part {n} [Q9]", ["Q1"], n == 1 and k != 7, n == 1 and k == 5) for n in (1, 0) for k in range(300)]
+    rows = pd.DataFrame(tokens, columns=["message_id", "seq", "micros", "token", "verified", "last", "stop"])
+    out = pd.concat(lane.handleInputRows((0,), iter([rows[:250], rows[250:]]), None))
+    ends = out[out["status"] != "STREAMING"]
+    assert {k: (s, c) for k, s, c in zip(ends["message_id"], ends["status"], ends["content"])} == {k: ("STOPPED", "part 0 ") if k == 5 else ("COMPLETE", "part 0 part 1 ") for k in range(300) if k != 7}
+    assert [name for name, _ in asked] == ["exists", "updateValue", "registerTimer", "update"]
+
+
+def test_messages_of_one_lane_end_each_in_its_own_time(spark, tmp_path):
+    schema = "message_id long, seq long, at timestamp, token string, verified array<string>, last boolean, stop boolean"
+    token = lambda m, n, at, text, last=False: (m, n, S(at), text, ["Q1"], last, False)
+    batches = [[token(1, 0, 0, "a"), token(2, 0, 50, "b ["), token(3, 0, 10, "c")], [token(3, 1, 55, "d", True), token(9, 0, 61, "x", True)], [token(2, 1, 100, "Q1] e"), token(1, 1, 90, "late")], [token(9, 0, 400, "y", True)], [token(2, 2, 500, "again", True)]]
+    seen = {}
+    for lanes in (1, 64):
+        for k, batch in enumerate(batches):
+            put(spark, tmp_path / f"in{lanes}", batch, schema)
+            made = citations.messages(stream(spark, tmp_path / f"in{lanes}", schema), 60, lanes=lanes)
+            made.writeStream.option("checkpointLocation", str(tmp_path / f"c{lanes}")).trigger(availableNow=True).start(str(tmp_path / f"out{lanes}"), format="parquet").awaitTermination(120)
+        seen[lanes] = sorted((r.message_id, r.seq, r.status, r.content) for r in spark.read.parquet(str(tmp_path / f"out{lanes}")).collect() if r.content is not None)
+    assert seen[1] == seen[64]
+    assert (1, 0, "STOPPED", "a") in seen[1] and (3, 1, "COMPLETE", "cd") in seen[1] and (2, 1, "STOPPED", "b [Q1] e") in seen[1]
