@@ -31,3 +31,11 @@ def test_shares_hold_every_row_once_null_keys_too(spark, monkeypatch):
 
     assert sorted(r.id for r in lineage.in_shares(given, "k", work).collect()) == list(range(75))
     assert len(seen) == 8 and sum(seen) == 75
+
+
+def test_documents_are_compared_alike_in_any_number_of_shares(spark, monkeypatch):
+    whole = sorted(map(str, text_queries.compare_documents(spark, SMALL).collect()))
+    monkeypatch.setattr(lineage, "EACH", len(whole) // 2)
+    before = shelves(spark)
+    assert sorted(map(str, text_queries.compare_documents(spark, SMALL).collect())) == whole
+    assert len(shelves(spark) - before) == 1
